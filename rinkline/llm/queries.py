@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rinkline.llm.encoding import damaged_rows
 from rinkline.llm.formatdup import Field, collapse_formats, format_copies
 from rinkline.sources.tables import table
 
@@ -28,4 +29,21 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir, collapse_formats)
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
+def _damaged(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    sources = [("swehockey_player_stats", "row_id", "player_name", False), ("swehockey_standings", "row_id", "team_name", False), ("tmp_latest_silly", "item_id", "title", True)]
+    return [damaged_rows(table(spark, sf_dir, n), k, c, q).select(F.lit(n).alias("table_name"), "*") for n, k, c, q in sources]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record whose player name, team name or title was changed by wrong decoding."""
+    a, b, c = (x.select("table_name", "row_key") for x in _damaged(spark, sf_dir))
+    return a.unionByName(b).unionByName(c)
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records with the original text, and whether some of it is lost for good."""
+    a, b, c = _damaged(spark, sf_dir)
+    return a.unionByName(b).unionByName(c)
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_found": p7_found, "p7_restored": p7_restored}
