@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rinkline.llm.encoding import damaged_rows
 from rinkline.llm.formatdup import Field, collapse_formats, format_copies
+from rinkline.llm.namelinks import link_variants, linked_pairs, short_given_names, typed_names
 from rinkline.sources.tables import table
 
 PLAYER_FIELDS = [Field(c) for c in ("season_group_id", "scraped_at", "jersey_number", "games_played", "goals", "assists", "points", "plus_minus", "pim")] + [Field(c, "code") for c in ("team_id", "team_code", "position")] + [Field("player_name", "parts")]
@@ -46,4 +47,23 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p7_found": p7_found, "p7_restored": p7_restored}
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    names = typed_names(t("swehockey_player_stats"), t("swehockey_goalie_stats"), t("swehockey_standings"), t("league_groups"))
+    return link_variants(names, short_given_names(t("nickname_forms")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of different stored strings that mean the same person of a club or club of a league."""
+    return linked_pairs(_linked(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored string with the number of its group, its size and the group's smallest string."""
+    from pyspark.sql import Window
+
+    g = Window.partitionBy("kind", "league", "team_id", "label")
+    return _linked(spark, sf_dir).select("kind", "league", "team_id", "name", F.min("name").over(g).alias("group_name"), F.count(F.lit(1)).over(g).alias("n_links"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_restored": p7_restored}
