@@ -122,7 +122,13 @@ def judge(a: str, b: str, rarity) -> int:
 
 def _match(x: list[str], y: list[str], rarity) -> int:
     x, y = list(x), list(y)
-    total, got, anchor = [sum(rarity(t) for t in z if len(t) > 1) for z in (x, y)], 0.0, False
+    total, got, anchor, anchor_rarity, total_parts = [sum(rarity(t) for t in z if len(t) > 1) for z in (x, y)], 0.0, False, 0.0, (tuple(x), tuple(y))
+    for one, two in ((x, y), (y, x)):  # two parts written as one
+        for t in [t for t in one if len(t) > 5 and t not in two]:
+            cut = next((i for i in range(2, len(t) - 1) if t[:i] in two and t[i:] in two), None)
+            if cut:
+                one.remove(t)
+                one += [t[:cut], t[cut:]]
     for t in list(x):
         if t in y:
             x.remove(t)
@@ -130,6 +136,7 @@ def _match(x: list[str], y: list[str], rarity) -> int:
             if len(t) > 1:
                 got += rarity(t)
                 anchor |= len(t) > 2
+                anchor_rarity = max(anchor_rarity, rarity(t))
     for t in sorted(x, key=len, reverse=True):
         if y and len(t) > 2:
             s, u = max((_close(t, u), u) for u in y)
@@ -138,36 +145,55 @@ def _match(x: list[str], y: list[str], rarity) -> int:
                 y.remove(u)
                 got += s * min(rarity(t), rarity(u))
                 anchor |= len(t) > 3
+                anchor_rarity = max(anchor_rarity, min(rarity(t), rarity(u)))
+    matched = len(total_parts[0]) - len(x)
+    if x and y and anchor and len(x) <= 2 and len(y) <= 2 and _run_together(x, y, matched):
+        got += min(sum(map(rarity, x)), sum(map(rarity, y)))
+        x, y = [], []
     if not anchor:
         return NONE
-    a_less = b_less = short = False
-    for mine, theirs, flag in ((x, y, 0), (y, x, 1)):
+    less = [False, False]
+    for mine, theirs, side in ((x, y, 0), (y, x, 1)):
         for t in list(mine):
-            u = next((u for u in theirs if len(t) <= 4 and len(u) > len(t) and u.startswith(t)), None) if t in mine else None
+            u = next((u for u in theirs if len(t) <= 5 and len(u) > len(t) and u.startswith(t)), None)
             if u:
                 mine.remove(t)
                 theirs.remove(u)
+                less[side] = True
                 got += rarity(u) / 2
-                if flag:
-                    b_less = True
-                else:
-                    a_less = True
-    if x and y:
-        full = [t for t in x if len(t) > 1], [t for t in y if len(t) > 1]
-        if len(full[0]) != 1 or len(full[1]) < 1 or len(x) != 1 or full[0][0][:2] != full[1][0][:2] and full[0][0][:2] not in {t[:2] for t in full[1]}:
+                total[1 - side] -= rarity(u) / 2
+                total[side] -= rarity(t) - rarity(u) / 2 if len(t) > 1 else -rarity(u) / 2
+    if x and y:  # one full part on either side may be a short name of the other's
+        if not any(_short_of(t, u) for t in x for u in y) or min(len(x), len(y)) != 1 or max(len(x), len(y)) > 2 or any(less):
             return NONE
-        short, x, y = True, [], []
-    if got < 0.5 * max(total) and not short or got < 0.35 * max(total):
+        return SHORT_NAME if got >= 0.3 * min(total) else NONE
+    rest = [t for t in (x or y) if len(t) > 1]
+    if rest:  # a lone part stands for the whole name only if it is the rarer one
+        if anchor_rarity < 0.9 * max(map(rarity, rest)) or got < 0.25 * max(total):
+            return NONE
+        less[1 if x else 0] = True
+    elif got < 0.5 * max(total):
         return NONE
-    if any(len(t) > 1 for t in y):
-        a_less = True
-    if any(len(t) > 1 for t in x):
-        b_less = True
-    if short:
-        return NONE if a_less or b_less else SHORT_NAME
-    if a_less and b_less:
+    if all(less):
         return NONE
-    return A_SAYS_LESS if a_less else B_SAYS_LESS if b_less else SAME
+    return A_SAYS_LESS if less[0] else B_SAYS_LESS if less[1] else SAME
+
+
+def _run_together(x: list[str], y: list[str], matched: int) -> bool:
+    """Whether leftover parts are the same letters parted elsewhere, or short parts of a longer name with a slip in one."""
+    if len(x) == len(y) == 1:
+        a, b = sorted((x[0], y[0]), key=len)
+        if matched < 2 or len(a) < 2 or len(b) > 5:
+            return False
+        it = iter(b)
+        return _distance(a, b) == 1 or all(c in it for c in a) and len(b) - len(a) <= 2 and a[0] == b[0]
+    cats = [{"".join(z), "".join(reversed(z))} for z in (x, y)]
+    return any(min(len(a), len(b)) > 4 and _distance(a, b) <= 1 for a in cats[0] for b in cats[1])
+
+
+def _short_of(a: str, b: str) -> bool:
+    """Whether one given name may be a familiar form of the other: the same first letters, or those of one inside the other."""
+    return len(a) > 1 and len(b) > 1 and (a[:2] == b[:2] or a[:3] in b or b[:3] in a)
 
 
 def _grams(part: str) -> set[str]:
@@ -293,16 +319,22 @@ def link_variants(strings: DataFrame, short_forms: dict[str, str]) -> DataFrame:
     same_bones = bones.join(named.select("scope", "skeleton", F.col("node").alias("b")), ["scope", "skeleton"]).where("a != b").select("a", "b").distinct()
     groups = staged(closed_groups(nodes.select("node"), judged.where(f"v = {SAME}").select("a", "b").unionByName(same_bones)), "p3-groups")
 
-    held = nodes.join(groups, "node").groupBy("label").agg(F.bit_or("lists").alias("lists"))
     lean = judged.where(f"v != {SAME}")
     lean = lean.where(f"v != {B_SAYS_LESS}").select(F.col("a").alias("x"), F.col("b").alias("y"), "v").unionByName(lean.where(f"v in ({B_SAYS_LESS}, {SHORT_NAME})").select(F.col("b").alias("x"), F.col("a").alias("y"), "v"))
-    lean = lean.join(groups.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(groups.select(F.col("node").alias("y"), F.col("label").alias("b")), "y").where("a != b").groupBy("a", "b").agg(F.min("v").alias("v"))
-    lean = lean.join(held.select(F.col("label").alias("a"), F.col("lists").alias("la")), "a").join(held.select(F.col("label").alias("b"), F.col("lists").alias("lb")), "b").where(F.col("la").bitwiseAND(F.col("lb")) == 0)
-    only = lean.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.min("v").alias("v")).where("n = 1")
+    for _ in range(2):  # a form that says little may fit two groups which the first round makes one
+        groups = _joined_by_the_only_fit(nodes, groups, lean)
+    return named.select("kind", "league", "team_id", "name", "node").join(groups, "node").select("kind", "league", "team_id", "name", "label")
+
+
+def _joined_by_the_only_fit(nodes: DataFrame, groups: DataFrame, lean: DataFrame) -> DataFrame:
+    """Groups after each that says less has joined the only group it fits; short names join if each is the other's only fit."""
+    held = nodes.join(groups, "node").groupBy("label").agg(F.bit_or("lists").alias("lists"))
+    ends = lean.join(groups.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(groups.select(F.col("node").alias("y"), F.col("label").alias("b")), "y").where("a != b").groupBy("a", "b").agg(F.min("v").alias("v"))
+    ends = ends.join(held.select(F.col("label").alias("a"), F.col("lists").alias("la")), "a").join(held.select(F.col("label").alias("b"), F.col("lists").alias("lb")), "b").where(F.col("la").bitwiseAND(F.col("lb")) == 0)
+    only = staged(ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.min("v").alias("v")).where("n = 1"), "p3-only")
     mutual = only.where(f"v = {SHORT_NAME}").alias("p").join(only.alias("q"), (F.col("p.a") == F.col("q.b")) & (F.col("p.b") == F.col("q.a"))).select("p.a", "p.b")
     joined = closed_groups(held.select(F.col("label").alias("node")), only.where(f"v != {SHORT_NAME}").select("a", "b").unionByName(mutual))
-    final = groups.join(joined.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("node", F.col("top").alias("label"))
-    return named.select("kind", "league", "team_id", "name", "node").join(final, "node").select("kind", "league", "team_id", "name", "label")
+    return staged(groups.join(joined.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("node", F.col("top").alias("label")), "p3-groups")
 
 
 def linked_pairs(groups: DataFrame) -> DataFrame:
