@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinkline.functions.textkeys import ascii_key
+from rinkline.llm.components import closed_groups
 from rinkline.llm.encoding import repair, suspicious
 from rinkline.operators.staging_area import staged
 
@@ -110,6 +111,8 @@ def judge(a: str, b: str, rarity) -> int:
         ka, kb = x.pop(), y.pop()
         if ka != kb and ka != "/" and kb != "/":
             return NONE
+        if len(x) == len(y) == 1 and x != y and min(len(x[0]), len(y[0])) > 2 and (x[0].startswith(y[0]) or y[0].startswith(x[0])):
+            return A_SAYS_LESS if len(x[0]) < len(y[0]) else B_SAYS_LESS
         got = _match(x, y, rarity)
         if got in (NONE, SHORT_NAME) or not x or not y:
             return NONE
@@ -250,22 +253,11 @@ def _judge_udf(rarity: list[float]):
     return verdict
 
 
-def closed_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, label)`` of ``nodes``: the smallest node of each connected component of ``edges(a, b)``.
-
-    Labels travel along edges until none changes; each round is written out, so it survives lost executors and its plan
-    stays short. Nothing but the number of changes reaches the driver.
-    """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "p3-edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = staged(labels, "p3-labels")
-    while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        step = staged(labels.join(offered, "node", "left").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")), "p3-labels")
-        labels = step.select("node", "label")
-        if not step.where("moved").limit(1).count():
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+def _meeting_parts():
+    """The parts of a form by which it may meet others; clubs also meet by the first letters of their place."""
+    full = F.filter(F.slice(F.split("form", " "), 2, 1000), lambda t: (F.length(t) > 1) & ~t.startswith("/"))
+    starts = F.transform(F.filter(full, lambda t: F.length(t) > 3), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 4)))
+    return F.array_distinct(F.when(F.col("form").startswith("t"), F.concat(full, starts)).otherwise(full))
 
 
 def link_variants(strings: DataFrame, short_forms: dict[str, str]) -> DataFrame:
@@ -291,7 +283,7 @@ def link_variants(strings: DataFrame, short_forms: dict[str, str]) -> DataFrame:
     nodes = named.groupBy("scope", "node", "form").agg(F.bit_or("lists").alias("lists"))
     nodes = staged(nodes, "p3-forms")
 
-    parts = nodes.select("scope", "node", "form", "lists", F.explode(F.filter(F.slice(F.split("form", " "), 2, 60), lambda t: (F.length(t) > 1) & ~t.startswith("/"))).alias("part"))
+    parts = nodes.select("scope", "node", "form", "lists", F.explode(_meeting_parts()).alias("part"))
     known = parts.select("scope", "part").distinct()
     bucket = F.pmod(F.xxhash64("part"), F.lit(_BUCKETS))
     counts = {r[0]: r[1] for r in parts.groupBy(bucket.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65,536 rows
@@ -302,7 +294,7 @@ def link_variants(strings: DataFrame, short_forms: dict[str, str]) -> DataFrame:
     plain = known.where(F.col("part").rlike("^[a-z0-9]+$"))
     ranks = {r[0]: i for i, r in enumerate(plain.select(pairs_of_letters).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "g").collect())}  # letters, digit, two ends: at most 38 x 38 rows
     prefix = _prefix_udf(ranks)
-    grams = known.where(F.length("part") > 3).select("scope", "part", F.explode(prefix("part")).alias("g"))
+    grams = known.where((F.length("part") > 3) & ~F.col("part").startswith("^")).select("scope", "part", F.explode(prefix("part")).alias("g"))
     left, right = grams.select("scope", "g", F.col("part").alias("s")), grams.select("scope", "g", F.col("part").alias("t"))
     similar = left.join(right, ["scope", "g"]).where((F.col("s") < F.col("t")) & (F.abs(F.length("s") - F.length("t")) <= 2) & (F.levenshtein("s", "t") <= 2)).select("scope", "s", "t").distinct()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rinkline.llm.encoding import damaged_rows
 from rinkline.llm.formatdup import Field, collapse_formats, format_copies
 from rinkline.llm.namelinks import link_variants, linked_pairs, short_given_names, typed_names
+from rinkline.llm.nearsets import near_classes, near_pairs
 from rinkline.sources.tables import table
 
 PLAYER_FIELDS = [Field(c) for c in ("season_group_id", "scraped_at", "jersey_number", "games_played", "goals", "assists", "points", "plus_minus", "pim")] + [Field(c, "code") for c in ("team_id", "team_code", "position")] + [Field("player_name", "parts")]
@@ -66,4 +67,18 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir).select("kind", "league", "team_id", "name", F.min("name").over(g).alias("group_name"), F.count(F.lit(1)).over(g).alias("n_links"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_restored": p7_restored}
+def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "tmp_latest_silly").where("body is not null")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of news items whose title and body share at least 0.6 of their distinct words."""
+    return near_pairs(_stories(spark, sf_dir), "item_id", F.concat_ws(" ", "title", "body"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every news item with the class of items that are versions of one text."""
+    return near_classes(_stories(spark, sf_dir), "item_id", F.concat_ws(" ", "title", "body"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_restored": p7_restored}

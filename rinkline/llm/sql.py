@@ -29,7 +29,14 @@ def _collapsed(source: str, keys: str) -> str:
     return f"select '{source}' table_name, min(row_id) row_id, count(*) n_copies from {source} group by {keys}"
 
 
+_NEAR = r"""
+with items as (select item_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, body)), '[\p{L}\p{N}]+')) w from tmp_latest_silly where body is not null),
+words as (select item_id, len(w) n, unnest(w) x from items),
+met as (select a.item_id item_a, b.item_id item_b, any_value(a.n) n, any_value(b.n) m, count(*) k from words a join words b on a.x = b.x and a.item_id < b.item_id and least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) group by 1, 2)
+select item_a, item_b from met where k >= 0.6 * (n + m - k) - 1e-9"""
+
 SQL = {
+    "p5_found": _NEAR,
     "p1_found": _copies("swehockey_player_stats", _PLAYER) + " union all " + _copies("swehockey_schedule", _GAME),
     "p1_collapsed": _collapsed("swehockey_player_stats", _PLAYER) + " union all " + _collapsed("swehockey_schedule", _GAME),
 }
