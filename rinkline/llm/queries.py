@@ -9,6 +9,10 @@ from rinkline.llm.encoding import damaged_rows
 from rinkline.llm.formatdup import Field, collapse_formats, format_copies
 from rinkline.llm.namelinks import link_variants, linked_pairs, short_given_names, typed_names
 from rinkline.llm.nearsets import near_classes, near_pairs
+from rinkline.llm.mixing import draws, memberships, fit_classifier, reached_shares, soft_cells
+from rinkline.llm.packing import fill_report, pack
+from rinkline.llm.textstats import text_quality
+from rinkline.llm.tokens import sized
 from rinkline.sources.tables import table
 
 PLAYER_FIELDS = [Field(c) for c in ("season_group_id", "scraped_at", "jersey_number", "games_played", "goals", "assists", "points", "plus_minus", "pim")] + [Field(c, "code") for c in ("team_id", "team_code", "position")] + [Field("player_name", "parts")]
@@ -81,4 +85,59 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_stories(spark, sf_dir), "item_id", F.concat_ws(" ", "title", "body"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_restored": p7_restored}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    kinds = table(spark, sf_dir, "container_specs").limit(1000).collect()  # a fixed table of a few rows
+    out = [pack(sizes, r["container_kind"], r["capacity_tokens"]) for r in kinds]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document placed in containers of each kind."""
+    return _packed(spark, sf_dir)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, tokens placed and the share of space left unused, per kind."""
+    return fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    sizes = sized(docs, "doc_id", "text", "source")
+    cells, names = soft_cells(docs.select("doc_id", "source", "text"), docs.select("doc_id", "source", "text"))
+    return draws(sizes, targets, cells, names), sizes, targets
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix and how often each is repeated."""
+    return _drawn(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens each source reaches in each mix."""
+    return reached_shares(*_drawn(spark, sf_dir))
+
+
+def p9_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean predicted membership of the documents of each source, as the classifier sees it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    model = fit_classifier(docs)
+    names = F.array(*map(F.lit, model[0]))
+    pairs = memberships(docs, model).join(docs.select("doc_id", "source"), "doc_id").select("source", F.posexplode("posteriors").alias("k", "p"))
+    return pairs.groupBy("source", F.get(names, F.col("k")).alias("predicted")).agg(F.round(F.avg("p"), 4).alias("mean_membership"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which less than half the characters belong to running sentences."""
+    return text_quality(table(spark, sf_dir, "documents")).where(F.array_contains("tails", "running_share")).select("doc_id")
+
+
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, robust scores and tails of every document."""
+    return text_quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_restored": p7_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_draws": p9_draws, "p9_shares": p9_shares, "p9_memberships": p9_memberships, "p10_found": p10_found, "p10_quality": p10_quality}
