@@ -22,13 +22,12 @@ def writing_key(c: Column) -> Column:
 def ascii_key(c: Column) -> Column:
     """Equal for spellings of one name that differ in writing or in decoding.
 
-    Reading bytes with a wrong character set, or losing characters to ``?`` or U+FFFD, changes characters beyond
-    ASCII into other such characters (or ``?``) and leaves ASCII letters alone; so the ASCII letters and digits,
-    with the parts in sorted order, are what all stored forms of one typed name share. A name without any (another
-    script) is its own lower-cased text; null gives ''.
+    Reading bytes with a wrong character set, or losing characters to ``?`` or U+FFFD, changes runs of characters beyond
+    ASCII into other such runs (or ``?``) and leaves ASCII letters alone; so the runs of ASCII letters and digits
+    between them, sorted, are what all stored forms of one typed name share. A name without any (another script) is its
+    own lower-cased text; null gives ''.
     """
-    kept = F.lower(F.regexp_replace(c, rf"[?]|[^\x00-\x7f{BLANKS}]", ""))
-    bag = F.array_join(F.array_sort(F.split(kept, "[^a-z0-9]+")), "")
+    bag = F.ltrim(F.array_join(F.array_sort(F.split(F.lower(c), "[^a-z0-9]+")), " "))
     return F.coalesce(F.nullif(bag, F.lit("")), F.lower(c), F.lit(""))
 
 

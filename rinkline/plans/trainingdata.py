@@ -87,7 +87,7 @@ def p6_roster_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster_versions(spark, sf_dir).select(F.col("entity.e0").alias("player_id"), F.col("entity.e1").alias("season_id"), "status", "valid_from", "valid_to")
 
 
-_KEY = r"coalesce(nullif(array_to_string(list_sort(string_split_regex(lower(regexp_replace({c}, '[?]|[^\x00-\x7f\x{{a0}}\x{{2009}}]', '', 'g')), '[^a-z0-9]+')), ''), ''), lower({c}), '')"
+_KEY = r"coalesce(nullif(ltrim(array_to_string(list_sort(string_split_regex(lower({c}), '[^a-z0-9]+')), ' ')), ''), lower({c}), '')"
 
 
 def _changes_sql(source: str, entity: str, compare: list[str]) -> str:
