@@ -30,7 +30,7 @@ def _day(c: Column) -> Column:
     ymd, dmy = r"^\D*((?:19|20)\d{2})\D*?(\d{1,2})\D*?(\d{1,2})\D*$", r"^\D*?(\d{1,2})\D*?(\d{1,2})\D*?((?:19|20)\d{2})\D*$"
     part = lambda rx, i: F.lpad(F.regexp_extract(c, rx, i), 2 if i != (1 if rx is ymd else 3) else 4, "0")
     date = lambda rx, y, d: F.try_to_timestamp(F.concat(part(rx, y), F.lit("-"), part(rx, 2), F.lit("-"), part(rx, d)), F.lit("yyyy-MM-dd")).cast("date").cast("string")
-    return F.coalesce(date(ymd, 1, 3), date(dmy, 3, 1), writing_key(c))
+    return F.when(c.rlike(r"^(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])$"), c).otherwise(F.coalesce(date(ymd, 1, 3), date(dmy, 3, 1), writing_key(c)))
 
 
 def _numbers(c: Column) -> Column:
@@ -50,7 +50,7 @@ def _plain(f: Field) -> Column:
         return _day(c)
     if f.kind == "numbers":
         return _numbers(c)
-    return c.cast("string")
+    return c
 
 
 _NULL = "\u0000"
@@ -68,37 +68,44 @@ def fingerprint(fields: list[Field]) -> Column:
             parts = F.coalesce(word_parts(F.col(f.name)), F.array(F.lit(_NULL)))
             total = total + _sum_of_parts(f.name, parts)
         else:
-            value = F.col(f.name) if f.kind == "exact" else _plain(f)
-            total = total + F.shiftright(F.xxhash64(F.lit(f.name), F.coalesce(value.cast("string"), F.lit(_NULL))), 6)
+            total = total + F.shiftright(F.xxhash64(F.lit(f.name), _plain(f)), 6)  # null adds nothing to the name's hash
     return total
 
 
-def _keyed(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
-    content = F.concat_ws("\u0001", *[F.coalesce(_plain(f), F.lit(_NULL)) for f in fields])
-    return df.select(fingerprint(fields).alias("fp"), F.col(row_id).cast("long").alias("id"), content.alias("content"))
+def _raw(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
+    """Id, block and fields. Only records that agree in their exact fields can be one, so their hashes' sum, which costs
+    little, is the block in which the others are looked at; without exact fields it is the whole fingerprint."""
+    exact = [f for f in fields if f.kind == "exact"]
+    return df.select(fingerprint(exact or fields).alias("_block"), F.col(row_id).cast("long").alias("_id"), *[F.col(f.name).alias(f.name) for f in fields])
 
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """The rows whose fingerprint occurs more than once, written once."""
-    often = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    return staged(rows.join(often.hint("shuffle_hash"), "fp"), "p1")
+def _keyed(rows: DataFrame, fields: list[Field]) -> DataFrame:
+    content = F.struct(*[_plain(f).alias(f"v{i}") for i, f in enumerate(fields)])
+    return rows.select(fingerprint(fields).alias("fp"), F.col("_id").alias("id"), content.alias("content"))
+
+
+def _meeting(rows: DataFrame, fields: list[Field]) -> DataFrame:
+    """The rows that are not alone in their block, with fingerprint and normalised fields, written once."""
+    often = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_block")
+    return _keyed(staged(rows.join(often.hint("shuffle_hash"), "_block"), "p1"), fields)
 
 
 def format_copies(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
     """``(first_row_id, copy_row_id)``: each further copy of a record and the smallest row id of its set.
 
-    Fingerprints are counted with map-side combine, so a set of copies that holds a third of all rows shrinks to a row
-    per task before it is shuffled; the rows of fingerprints that occur once are dropped in the join that follows, whose
-    hot partitions adaptive execution splits (the side built in memory has one row per fingerprint). What remains is
-    grouped by fingerprint and content, again combined map-side.
+    Blocks are counted with map-side combine, so a set of copies that holds a third of all rows shrinks to a row per task
+    before it is shuffled; rows alone in their block are dropped in the join that follows, whose hot partitions adaptive
+    execution splits (the side built in memory has one row per block). What remains is grouped by fingerprint and
+    content, again combined map-side.
 
     Defined results: null agrees only with null, an empty text only with texts of blanks and punctuation; row ids are
     taken to be unique (a repeated id is listed as a copy only of another id); an empty table gives no rows; columns
     that are not among the fields are ignored, whatever their names.
     """
-    met = _meeting(_keyed(df, row_id, fields))
+    met = _meeting(_raw(df, row_id, fields), fields)
     sets = met.groupBy("fp", "content").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return met.join(sets.hint("shuffle_hash"), ["fp", "content"]).where("id != first").select(F.col("first").alias("first_row_id"), F.col("id").alias("copy_row_id"))
+    sets = sets.withColumnRenamed("content", "held")
+    return met.join(sets.hint("shuffle_hash"), "fp").where(F.col("content").eqNullSafe(F.col("held")) & (F.col("id") != F.col("first"))).select(F.col("first").alias("first_row_id"), F.col("id").alias("copy_row_id"))
 
 
 def collapse_formats(df: DataFrame, row_id: str, fields: list[Field]) -> DataFrame:
@@ -106,7 +113,7 @@ def collapse_formats(df: DataFrame, row_id: str, fields: list[Field]) -> DataFra
 
     Same rules as :func:`format_copies`; join the result to the table by ``row_id`` for the records themselves.
     """
-    rows = _keyed(df, row_id, fields)
-    single = rows.groupBy("fp").agg(F.min("id").alias("row_id"), F.count(F.lit(1)).alias("n")).where("n = 1").select("row_id", F.lit(1).cast("long").alias("n_copies"))
-    sets = _meeting(rows).groupBy("fp", "content").agg(F.min("id").alias("row_id"), F.count(F.lit(1)).alias("n_copies")).select("row_id", "n_copies")
+    rows = _raw(df, row_id, fields)
+    single = rows.groupBy("_block").agg(F.min("_id").alias("row_id"), F.count(F.lit(1)).alias("n")).where("n = 1").select("row_id", F.lit(1).cast("long").alias("n_copies"))
+    sets = _meeting(rows, fields).groupBy("fp", "content").agg(F.min("id").alias("row_id"), F.count(F.lit(1)).alias("n_copies")).select("row_id", "n_copies")
     return single.unionByName(sets)
