@@ -14,9 +14,12 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,36 +221,39 @@ def _forms_udf(short: dict[str, str]):
     return forms
 
 
+def gram_prefix(part: str, order: dict[str, int]) -> list[int]:
+    """The rarest q-grams of a part, as many as any similar part must share one of."""
+    g = sorted(order[x] if x in order else -1 - zlib.crc32(x.encode()) % (1 << 30) for x in _grams(part))
+    return g[: len(g) - math.ceil(GRAM_SHARE * len(g)) + 1]
+
+
 def _prefix_udf(order: dict[str, int]):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def prefix(parts: pd.Series) -> pd.Series:
-        def one(p: str) -> list[int]:
-            g = sorted(order[x] if x in order else _uncounted(x) for x in _grams(p))
-            return g[: len(g) - math.ceil(GRAM_SHARE * len(g)) + 1]
-
-        return parts.map(one)
+        return parts.map(lambda p: gram_prefix(p, order))
 
     return prefix
 
 
-def _uncounted(gram: str) -> int:
-    """A number for a gram that was not counted, outside the range of ranks and the same on every worker."""
-    return -1 - zlib.crc32(gram.encode()) % (1 << 30)
+def _rarity_of(rarity: list[float]):
+    """How rare a part is: its hashed count's logarithmic weight."""
+    memo: dict[str, float] = {}
 
+    def rare(t: str) -> float:
+        r = memo.get(t)
+        if r is None:
+            if len(memo) > 500_000:
+                memo.clear()
+            r = memo[t] = rarity[xxhash.xxh64_intdigest(t.encode(), 42) % _BUCKETS]
+        return r
 
-def _judge_udf(rarity: list[float]):
-    import xxhash
+    return rare
 
+
+def _judge_udf(rarity: list[float]):
     @F.pandas_udf(T.IntegerType())
     def verdict(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict[str, float] = {}
-
-        def rare(t: str) -> float:
-            r = memo.get(t)
-            if r is None:
-                r = memo[t] = rarity[xxhash.xxh64_intdigest(t.encode(), 42) % _BUCKETS]
-            return r
-
+        rare = _rarity_of(rarity)
         return pd.Series([judge(x, y, rare) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     return verdict
@@ -260,41 +266,194 @@ def _meeting_parts():
     return F.array_distinct(F.when(F.col("form").startswith("t"), F.concat(full, starts)).otherwise(full))
 
 
-def link_variants(strings: DataFrame, short_forms: dict[str, str]) -> DataFrame:
+LOCAL = 5_000  # strings in a scope that one task still resolves by itself
+
+
+class _Scope:
+    """The strings of one scope, resolved in memory by the same steps as :func:`_resolved_apart` takes by joins."""
+
+    def __init__(self, rows: list[tuple[str, str, int, bool]], order: dict[str, int], rarity):
+        self.nodes: dict[str, int] = {}
+        self.lists: list[int] = []
+        for _, form, lists, damaged in rows:
+            k = self.nodes.setdefault(form, len(self.nodes))
+            if k == len(self.lists):
+                self.lists.append(0)
+            if not damaged:
+                self.lists[k] |= lists
+        self.up = list(range(len(self.lists)))
+        judged = [(i, j, v) for i, j in self._candidates(order) if (v := judge(self.forms[i], self.forms[j], rarity))]
+        for i, j, v in judged:
+            if v == SAME:
+                self._join(i, j)
+        if any(r[3] for r in rows):
+            bones: dict[str, list] = {}
+            for name, form, _, damaged in rows:
+                bones.setdefault(_bones(name), []).append((self.nodes[form], damaged))
+            for same in bones.values():
+                if any(d for _, d in same):
+                    for k, _ in same[1:]:
+                        self._join(same[0][0], k)
+        lean = [(x, y, v) for i, j, v in judged if v != SAME for x, y in ([(i, j)] if v != B_SAYS_LESS else []) + ([(j, i)] if v != A_SAYS_LESS else [])]
+        for _ in range(2):
+            self._only_fits(lean)
+
+    def label(self, form: str) -> int:
+        return self._top(self.nodes[form])
+
+    def _top(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return k
+
+    def _join(self, i: int, j: int) -> None:
+        i, j = self._top(i), self._top(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def _candidates(self, order: dict[str, int]) -> set[tuple[int, int]]:
+        self.forms = list(self.nodes)
+        holders: dict[str, list[int]] = {}
+        for k, form in enumerate(self.forms):
+            for p in _parts_to_meet(form):
+                holders.setdefault(p, []).append(k)
+        met = [(p, p) for p, ks in holders.items() if len(ks) > 1]
+        branches: dict[int, list[str]] = {}
+        for p in holders:
+            if len(p) > 3 and p[0] != "^":
+                near = set()
+                for g in gram_prefix(p, order):
+                    held = branches.setdefault(g, [])
+                    near.update(held)
+                    held.append(p)
+                met += [(p, q) for q in near if abs(len(p) - len(q)) <= 2 and _edits(p, q) <= 2]
+        out = set()
+        for p, q in met:
+            for i in holders[p]:
+                for j in holders[q]:
+                    if i != j and not self.lists[i] & self.lists[j]:
+                        out.add((i, j) if i < j else (j, i))
+        return out
+
+    def _only_fits(self, lean: list[tuple[int, int, int]]) -> None:
+        lists: dict[int, int] = {}
+        for k, x in enumerate(self.lists):
+            t = self._top(k)
+            lists[t] = lists.get(t, 0) | x
+        fits: dict[int, dict[int, int]] = {}
+        for x, y, v in lean:
+            a, b = self._top(x), self._top(y)
+            if a != b and not lists[a] & lists[b]:
+                of = fits.setdefault(a, {})
+                of[b] = min(v, of.get(b, v))
+        only = {a: next(iter(of.items())) for a, of in fits.items() if len(of) == 1}
+        for a, (b, v) in only.items():
+            if v != SHORT_NAME or only.get(b, (None,))[0] == a:
+                self._join(a, b)
+
+
+@lru_cache(maxsize=200_000)
+def _edits(a: str, b: str) -> int:
+    """Levenshtein distance of two parts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+_ASCII_RUNS = re.compile("[^a-z0-9]+")
+
+
+def _bones(name: str) -> str:
+    """The same key as ``ascii_key``."""
+    return " ".join(sorted(_ASCII_RUNS.split(name.lower()))).lstrip(" ") or name.lower()
+
+
+def _parts_to_meet(form: str) -> list[str]:
+    full = list(dict.fromkeys(t for t in form.split()[1:] if len(t) > 1 and t[0] != "/"))
+    return full + list(dict.fromkeys("^" + t[:4] for t in full if len(t) > 3)) if form[0] == "t" else full
+
+
+def _resolved_in_memory(named: DataFrame, order: dict[str, int], rarity: list[float]) -> DataFrame:
+    """``named`` with ``label``, scope by scope; scopes are short runs of rows of a sorted partition."""
+    fields = ["kind", "league", "team_id", "name", "scope", "form", "lists", "damaged"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rare = _rarity_of(rarity)
+        held: list[tuple] = []
+
+        def close() -> list[tuple]:
+            s = _Scope([(r[3], r[5], r[6], r[7]) for r in held], order, rare)
+            return [(*r[:4], s.label(r[5])) for r in held]
+
+        for pdf in batches:
+            out: list[tuple] = []
+            for r in zip(*(pdf[c] for c in fields), strict=True):
+                if held and r[4] != held[0][4]:
+                    out += close()
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=["kind", "league", "team_id", "name", "label"])
+        if held:
+            yield pd.DataFrame(close(), columns=["kind", "league", "team_id", "name", "label"])
+
+    rows = named.select(*fields).repartition("scope").sortWithinPartitions("scope")
+    return rows.mapInPandas(run, "kind string, league string, team_id string, name string, label long")
+
+
+def link_variants(strings: DataFrame, short_forms: dict[str, str], local: int = LOCAL) -> DataFrame:
     """``(kind, league, team_id, name, label)``: every stored string with the group of strings that mean the same entity.
 
     ``strings`` has ``kind`` (``player`` or ``team``), ``league``, ``team_id``, ``name``, and ``lists``, a bit set of the
     lists the string was typed in: strings with a bit in common are different entities unless only writing or decoding
     tells them apart (0 knows of none). ``short_forms`` (folded short given name to folded formal name) is a fixed table.
+    Labels are numbers that tell groups of one scope apart.
 
-    The gram order and the hashed part counts sent to the workers have at most 40 x 40 and 65,536 numbers, however
-    large the data. Candidates come from joins on (scope, gram) and (scope, part); no scope is gathered in one task and
-    no scope's strings are paired without a shared or similar part.
+    Scopes of up to ``local`` strings are resolved in memory, one after another; larger ones by joins on (scope, gram)
+    and (scope, part) and by labels travelling along links, so no unbounded scope is gathered in one task. Both ways take
+    the same steps. The gram order and hashed part counts sent to the workers have at most 40 x 40 and 65,536 numbers.
 
     Defined results: null names are left out; names without letters or digits form one group per scope; equal strings are
     one row per scope; an empty table gives no rows; other columns are ignored.
     """
-    odd = suspicious(F.col("name"))
-    scope = F.xxhash64("kind", "league", "team_id")
-    forms = _forms_udf(short_forms)
-    named = strings.where("name is not null").select("kind", "league", "team_id", "name", "lists", scope.alias("scope"), odd.alias("odd"))
-    named = named.withColumn("f", forms("kind", "name", "odd")).select("kind", "league", "team_id", "name", "scope", F.col("f.form").alias("form"), F.col("f.damaged").alias("damaged"), F.when(F.col("f.damaged"), F.lit(0).cast("long")).otherwise(F.col("lists")).alias("lists"), F.when(F.col("kind") == "player", ascii_key(F.col("name"))).otherwise(F.concat(F.lit("t"), ascii_key(F.col("name")))).alias("skeleton"))
-    named = staged(named.withColumn("node", F.xxhash64("scope", "form")), "p3-strings")
-    nodes = named.groupBy("scope", "node", "form").agg(F.bit_or("lists").alias("lists"))
-    nodes = staged(nodes, "p3-forms")
-
+    named = strings.where("name is not null").select("kind", "league", "team_id", "name", "lists", F.xxhash64("kind", "league", "team_id").alias("scope"), suspicious(F.col("name")).alias("odd"))
+    named = named.withColumn("f", _forms_udf(short_forms)("kind", "name", "odd")).select("kind", "league", "team_id", "name", "scope", "lists", F.col("f.form").alias("form"), F.col("f.damaged").alias("damaged"))
+    named = staged(named, "p3-strings")
+
+    parts = named.select(F.explode(F.slice(F.split("form", " "), 2, 1000)).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = staged(parts.where((F.length("part") > 1) & ~F.col("part").startswith("/")), "p3-parts")
+    buckets = {r[0]: r[1] for r in parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(_BUCKETS))).agg(F.sum("n")).collect()}  # at most 65,536 rows
+    total = max(1, sum(buckets.values()))
+    rarity = [math.log(1 + total / (1 + buckets.get(k, 0))) for k in range(_BUCKETS)]
+    grams = parts.where(F.col("part").rlike("^[a-z0-9]+$")).mapInPandas(_count_grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    order = {r[0]: i for i, r in enumerate(grams.orderBy("n", "g").collect())}  # letters, one digit, two ends: at most 38 x 38 rows
+
+    large = staged(named.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("scope"), "p3-large")
+    if not large.limit(1).count():
+        return _resolved_in_memory(named, order, rarity)
+    small = _resolved_in_memory(named.join(large, "scope", "left_anti"), order, rarity)
+    return small.unionByName(_resolved_apart(named.join(large, "scope"), order, rarity))
+
+
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: Counter = Counter()
+    for pdf in batches:
+        for p, n in zip(pdf["part"], pdf["n"], strict=True):
+            for g in _grams(p):
+                counts[g] += n
+    yield pd.DataFrame({"g": list(counts.keys()), "n": list(counts.values())}, columns=["g", "n"]).astype({"g": object, "n": "int64"})
+
+
+def _resolved_apart(named: DataFrame, order: dict[str, int], rarity: list[float]) -> DataFrame:
+    """The same as :func:`_resolved_in_memory` for scopes of any size, by joins."""
+    named = named.withColumn("lists", F.when(F.col("damaged"), F.lit(0).cast("long")).otherwise(F.col("lists"))).withColumn("node", F.xxhash64("scope", "form")).withColumn("skeleton", ascii_key(F.col("name")))
+    nodes = staged(named.groupBy("scope", "node", "form").agg(F.bit_or("lists").alias("lists")), "p3-forms")
     parts = nodes.select("scope", "node", "form", "lists", F.explode(_meeting_parts()).alias("part"))
     known = parts.select("scope", "part").distinct()
-    bucket = F.pmod(F.xxhash64("part"), F.lit(_BUCKETS))
-    counts = {r[0]: r[1] for r in parts.groupBy(bucket.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65,536 rows
-    total = max(1, sum(counts.values()))
-    rarity = [math.log(1 + total / (1 + counts.get(k, 0))) for k in range(_BUCKETS)]
-    chars = F.split(F.concat(F.lit("^"), F.translate("part", "0123456789", "0000000000"), F.lit("$")), "")
-    pairs_of_letters = F.explode(F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i)))).alias("g")
-    plain = known.where(F.col("part").rlike("^[a-z0-9]+$"))
-    ranks = {r[0]: i for i, r in enumerate(plain.select(pairs_of_letters).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "g").collect())}  # letters, digit, two ends: at most 38 x 38 rows
-    prefix = _prefix_udf(ranks)
-    grams = known.where((F.length("part") > 3) & ~F.col("part").startswith("^")).select("scope", "part", F.explode(prefix("part")).alias("g"))
+    grams = known.where((F.length("part") > 3) & ~F.col("part").startswith("^")).select("scope", "part", F.explode(_prefix_udf(order)("part")).alias("g"))
     left, right = grams.select("scope", "g", F.col("part").alias("s")), grams.select("scope", "g", F.col("part").alias("t"))
     similar = left.join(right, ["scope", "g"]).where((F.col("s") < F.col("t")) & (F.abs(F.length("s") - F.length("t")) <= 2) & (F.levenshtein("s", "t") <= 2)).select("scope", "s", "t").distinct()
 
@@ -310,9 +469,8 @@ def link_variants(strings: DataFrame, short_forms: dict[str, str]) -> DataFrame:
     bones = named.where("damaged").select("scope", "skeleton", F.col("node").alias("a")).distinct()
     same_bones = bones.join(named.select("scope", "skeleton", F.col("node").alias("b")), ["scope", "skeleton"]).where("a != b").select("a", "b").distinct()
     groups = staged(closed_groups(nodes.select("node"), judged.where(f"v = {SAME}").select("a", "b").unionByName(same_bones)), "p3-groups")
-
     lean = judged.where(f"v != {SAME}")
-    lean = lean.where(f"v != {B_SAYS_LESS}").select(F.col("a").alias("x"), F.col("b").alias("y"), "v").unionByName(lean.where(f"v in ({B_SAYS_LESS}, {SHORT_NAME})").select(F.col("b").alias("x"), F.col("a").alias("y"), "v"))
+    lean = lean.where(f"v != {B_SAYS_LESS}").select(F.col("a").alias("x"), F.col("b").alias("y"), "v").unionByName(lean.where(f"v != {A_SAYS_LESS}").select(F.col("b").alias("x"), F.col("a").alias("y"), "v"))
     for _ in range(2):  # a form that says little may fit two groups which the first round makes one
         groups = _joined_by_the_only_fit(nodes, groups, lean)
     return named.select("kind", "league", "team_id", "name", "node").join(groups, "node").select("kind", "league", "team_id", "name", "label")
