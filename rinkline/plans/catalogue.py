@@ -1,7 +1,8 @@
 """All queries of the core, by name, and their SQL."""
 
-from rinkline.plans import trainingdata
+from rinkline.plans import games, trainingdata
 
-FLAGSHIP = "p6_found"
-QUERIES = {**trainingdata.QUERIES}
-SQL = {**trainingdata.SQL}
+FLAGSHIP = "timeline_cumulative_points"
+_MODULES = (games, trainingdata)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
