@@ -65,5 +65,5 @@ TEAM_GAMES_SQL = f"""{GAMES_SQL}, team_games as (
     union all select sg, game_id, game_date, is_ot, periods, spectators, away, home, ag, hg, false from games where hg is not null))"""
 EVENTS_SQL = """ev as (
   select event_id, event_id % 500 game_id, case when event_type = 'purchase' then 'goal' else 'penalty' end kind, user_id % 8 team, user_id player, case when k % 3 > 0 then (user_id + k) % 150 end assist1, case when k % 3 > 1 then (user_id + 2 * k) % 150 end assist2,
-    cast(floor(1 + (event_id % 13) / 4.0) as int) period, lpad(cast(event_id % 20 as varchar), 2, '0') || ':' || lpad(cast(second(ts) as varchar), 2, '0') clock, k % 4 = 0 power_play, k % 6 penalty_type, case when k % 7 > 0 then 2 * (1 + k % 3) end minutes
+    cast(floor(1 + (event_id % 13) / 4.0) as int) period, lpad(cast(event_id % 20 as varchar), 2, '0') || ':' || lpad(cast(second(ts) as varchar), 2, '0') clock, k % 4 = 0 power_play, k % 6 penalty_type, case when k % 7 > 0 then 2 * (1 + k % 3) end as minutes
   from (select *, cast(json_extract_string(props, '$.k') as bigint) k from events where event_type in ('purchase', 'error')))"""
