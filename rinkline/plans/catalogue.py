@@ -1,8 +1,8 @@
 """All queries of the core, by name, and their SQL."""
 
-from rinkline.plans import events, games, staging, trainingdata
+from rinkline.plans import content, events, games, people, staging, trainingdata
 
 FLAGSHIP = "timeline_cumulative_points"
-_MODULES = (games, staging, events, trainingdata)
+_MODULES = (games, staging, events, people, content, trainingdata)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
