@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +101,6 @@ def greedy_distinct(items: DataFrame, limit: float = 0.70) -> DataFrame:
     matching blocks. The pass runs in rounds over the links: an item all of whose earlier neighbours are dropped is kept,
     one with a kept earlier neighbour is dropped, until none is open.
     """
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
