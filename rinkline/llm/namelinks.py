@@ -114,7 +114,7 @@ def judge(a: str, b: str, rarity) -> int:
         ka, kb = x.pop(), y.pop()
         if ka != kb and ka != "/" and kb != "/":
             return NONE
-        if len(x) == len(y) == 1 and x != y and min(len(x[0]), len(y[0])) > 2 and (x[0].startswith(y[0]) or y[0].startswith(x[0])):
+        if len(x) == len(y) == 1 and abs(len(x[0]) - len(y[0])) > 1 and min(len(x[0]), len(y[0])) > 2 and (x[0].startswith(y[0]) or y[0].startswith(x[0])):
             return A_SAYS_LESS if len(x[0]) < len(y[0]) else B_SAYS_LESS
         got = _match(x, y, rarity)
         if got in (NONE, SHORT_NAME) or not x or not y:
