@@ -103,7 +103,11 @@ def greedy_distinct(items: DataFrame, limit: float = 0.70) -> DataFrame:
     """
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        def one(x: str, y: str) -> float:
+            m = difflib.SequenceMatcher(None, x, y)
+            return m.ratio() if m.real_quick_ratio() > limit and m.quick_ratio() > limit else 0.0  # the quick ones are upper bounds
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     i = items.select("batch", "item_id", squashed(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}_\s]", "")).alias("t"))
     w = i.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
