@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinkline.functions.parse import day_text, numbers_text
 from rinkline.functions.textkeys import word_parts, writing_key
 from rinkline.operators.staging_area import staged
 
@@ -26,17 +27,6 @@ class Field:
     kind: str = "exact"
 
 
-def _day(c: Column) -> Column:
-    ymd, dmy = r"^\D*((?:19|20)\d{2})\D*?(\d{1,2})\D*?(\d{1,2})\D*$", r"^\D*?(\d{1,2})\D*?(\d{1,2})\D*?((?:19|20)\d{2})\D*$"
-    part = lambda rx, i: F.lpad(F.regexp_extract(c, rx, i), 2 if i != (1 if rx is ymd else 3) else 4, "0")
-    date = lambda rx, y, d: F.try_to_timestamp(F.concat(part(rx, y), F.lit("-"), part(rx, 2), F.lit("-"), part(rx, d)), F.lit("yyyy-MM-dd")).cast("date").cast("string")
-    return F.when(c.rlike(r"^(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])$"), c).otherwise(F.coalesce(date(ymd, 1, 3), date(dmy, 3, 1), writing_key(c)))
-
-
-def _numbers(c: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), "-"), F.lit("")), writing_key(c))
-
-
 _MARKS = " \t\n\r\u00a0\u2009.,;:-_/*'\"()"
 
 
@@ -47,9 +37,9 @@ def _plain(f: Field) -> Column:
     if f.kind == "parts":
         return writing_key(c)
     if f.kind == "day":
-        return _day(c)
+        return day_text(c)
     if f.kind == "numbers":
-        return _numbers(c)
+        return numbers_text(c)
     return c
 
 
