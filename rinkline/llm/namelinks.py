@@ -149,9 +149,12 @@ def _match(x: list[str], y: list[str], rarity) -> int:
             if s:
                 x.remove(t)
                 y.remove(u)
-                got += s * min(rarity(t), rarity(u))
+                w = min(rarity(t), rarity(u))  # a slip makes any part rare: both count as the one that is usual
+                got += s * w
+                total[0] -= rarity(t) - w
+                total[1] -= rarity(u) - w
                 anchor |= len(t) > 3
-                anchor_rarity = max(anchor_rarity, min(rarity(t), rarity(u)))
+                anchor_rarity = max(anchor_rarity, w)
     matched = len(total_parts[0]) - len(x)
     if x and y and anchor and len(x) <= 2 and len(y) <= 2 and _run_together(x, y, matched):
         got += min(sum(map(rarity, x)), sum(map(rarity, y)))
@@ -262,7 +265,7 @@ def _judge_udf(rarity: list[float]):
 def _meeting_parts():
     """The parts of a form by which it may meet others; clubs also meet by the first letters of their place."""
     full = F.filter(F.slice(F.split("form", " "), 2, 1000), lambda t: (F.length(t) > 1) & ~t.startswith("/"))
-    starts = F.transform(F.filter(full, lambda t: F.length(t) > 3), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 4)))
+    starts = F.transform(F.filter(full, lambda t: F.length(t) > 2), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 3)))
     return F.array_distinct(F.when(F.col("form").startswith("t"), F.concat(full, starts)).otherwise(full))
 
 
@@ -374,7 +377,7 @@ def _bones(name: str) -> str:
 
 def _parts_to_meet(form: str) -> list[str]:
     full = list(dict.fromkeys(t for t in form.split()[1:] if len(t) > 1 and t[0] != "/"))
-    return full + list(dict.fromkeys("^" + t[:4] for t in full if len(t) > 3)) if form[0] == "t" else full
+    return full + list(dict.fromkeys("^" + t[:3] for t in full if len(t) > 2)) if form[0] == "t" else full
 
 
 def _resolved_in_memory(named: DataFrame, order: dict[str, int], rarity: list[float]) -> DataFrame:
