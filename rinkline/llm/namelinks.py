@@ -38,6 +38,7 @@ _OPEN_KINDS = {"hockey", "alag", "lag", "a"}
 
 GRAM_SHARE = 0.34  # Jaccard similarity of q-gram sets from which parts count as similar
 _BUCKETS = 1 << 16
+_SURNAME = math.log(200)  # a part this rare (one in about 200 parts) may stand for a whole name
 
 
 def _fold(part: str) -> str:
@@ -156,8 +157,11 @@ def _match(x: list[str], y: list[str], rarity) -> int:
                 anchor |= len(t) > 3
                 anchor_rarity = max(anchor_rarity, w)
     matched = len(total_parts[0]) - len(x)
-    if x and y and anchor and len(x) <= 2 and len(y) <= 2 and _run_together(x, y, matched):
-        got += min(sum(map(rarity, x)), sum(map(rarity, y)))
+    fx, fy = [t for t in x if len(t) > 1], [t for t in y if len(t) > 1]
+    if fx and fy and anchor and len(fx) <= 2 and len(fy) <= 2 and _run_together(fx, fy, matched):
+        got += min(sum(map(rarity, fx)), sum(map(rarity, fy)))
+        x, y = [t for t in x if len(t) == 1], [t for t in y if len(t) == 1]
+    elif matched > 1 and x and y and not fx and not fy:  # middle initials come and go
         x, y = [], []
     if not anchor:
         return NONE
@@ -178,7 +182,7 @@ def _match(x: list[str], y: list[str], rarity) -> int:
         return SHORT_NAME if got >= 0.3 * min(total) else NONE
     rest = [t for t in (x or y) if len(t) > 1]
     if rest:  # a lone part stands for the whole name only if it is the rarer one
-        if anchor_rarity < 0.9 * max(map(rarity, rest)) or got < 0.25 * max(total):
+        if anchor_rarity < min(_SURNAME, 0.9 * max(map(rarity, rest))) or got < 0.25 * max(total):
             return NONE
         less[1 if x else 0] = True
     elif got < 0.5 * max(total):
