@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rinkline.functions.textkeys import exact_state
 
 
-def snapshot_changes(df: DataFrame, group: str, load: str, row_id: str, entity: list[Column], compare: list[str], range_bits: int = 4) -> DataFrame:
+def snapshot_changes(df: DataFrame, group: str, load: str, row_id: str, entity: list[Column], compare: list[str], range_bits: int = 4, hot_rows: int = 1_000_000) -> DataFrame:
     """Typed changes between each snapshot and the next: ``(group, load, change, old_row_id, new_row_id, old_state, new_state)``.
 
     A snapshot is all rows of one ``group`` with one value of ``load``. Rows are keyed by a 64-bit hash of the
@@ -27,6 +27,9 @@ def snapshot_changes(df: DataFrame, group: str, load: str, row_id: str, entity:
     h = F.xxhash64(*entity)
     bits = F.shiftrightunsigned("h", 64 - range_bits).cast("int") if range_bits else F.lit(0)
     rows = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t"), h.alias("h"), F.col(row_id).cast("long").alias("id"), exact_state(*compare).alias("state"))
+    hot = rows.groupBy(F.pmod(F.xxhash64("g", "h"), F.lit(4096))).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    if hot.limit(1).count():
+        rows = rows.groupBy("g", "t", "h").agg(F.min(F.struct("id", "state")).alias("x")).select("g", "t", "h", "x.id", "x.state")
     by_group = Window.partitionBy("g").orderBy("t")
     loads = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t")).distinct()
     loads = loads.select("g", "t", F.row_number().over(by_group).alias("k"), F.lead("t").over(by_group).isNull().alias("last"))

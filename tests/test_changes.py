@@ -39,9 +39,9 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("bits", [0, 1, 4])
-def test_same_as_plain(spark, bits):
-    got = run(spark, ROWS, range_bits=bits)
+@pytest.mark.parametrize("bits,hot", [(0, 10**6), (1, 10**6), (4, 10**6), (4, 0)])
+def test_same_as_plain(spark, bits, hot):
+    got = run(spark, ROWS, range_bits=bits, hot_rows=hot)
     assert {(r.change, r.old_row_id, r.new_row_id) for r in got.collect()} == plain(ROWS)
     assert got.count() == len(plain(ROWS))
 
