@@ -27,8 +27,8 @@ def snapshot_changes(df: DataFrame, group: str, load: str, row_id: str, entity:
     h = F.xxhash64(*entity)
     bits = F.shiftrightunsigned("h", 64 - range_bits).cast("int") if range_bits else F.lit(0)
     rows = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t"), h.alias("h"), F.col(row_id).cast("long").alias("id"), exact_state(*compare).alias("state"))
-    hot = rows.groupBy(F.pmod(F.xxhash64("g", "h"), F.lit(4096))).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    if hot.limit(1).count():
+    most, mean = rows.groupBy(F.pmod(F.xxhash64("g", "h"), F.lit(4096))).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.avg("n")).first()
+    if most and most > max(hot_rows, 4 * mean):
         rows = rows.groupBy("g", "t", "h").agg(F.min(F.struct("id", "state")).alias("x")).select("g", "t", "h", "x.id", "x.state")
     by_group = Window.partitionBy("g").orderBy("t")
     loads = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t")).distinct()
