@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ def _typed_mask(c: Column, kind: str) -> Column:
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.when(c < 0, "-9").when(c >= 0, "9")
     if kind == "boolean":
-        return F.when(c.isNotNull(), "a")
+        return c.cast("string")  # two values only: each is its own mask, so that a shift between them shows
     if kind in ("timestamp", "timestamp_ntz"):
         return F.when(F.unix_micros(c.cast("timestamp")) % 1_000_000 == 0, "9-9-9_9:9:9").when(c.isNotNull(), "9-9-9_9:9:9.9")
     return value_mask(c.cast("string"))
@@ -31,7 +33,11 @@ def _typed_mask(c: Column, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class Watch:
-    """What to hold a column against: the values it may have, and a share of rows to compare between loads."""
+    """What to hold a column against: the values it may have, and a share of rows to compare between loads.
+
+    ``share_of`` is a condition on the watched column alone, and on values that are their own mask (allowed ones and
+    booleans); ``share_among`` is any condition on the row.
+    """
 
     column: str
     allowed: tuple[str, ...] | None = None
@@ -39,26 +45,38 @@ class Watch:
     share_among: Column | None = None
 
 
-def mask_counts(df: DataFrame, load: list[str], columns: list[str]) -> DataFrame:
-    """``(load, column_name, mask, n, n_distinct, min_value, max_value)``: the rows of each load by column and mask.
+def mask_counts(df: DataFrame, load: list[str], columns: list[str], watches: Sequence[Watch] = ()) -> DataFrame:
+    """``(load, column_name, mask, is_value, n, n_base, n_distinct, min_value, max_value)``: each load's rows by column and mask.
 
-    The base of all profiles. Null values have null mask. Counts combine before the shuffle, so a load or value that
-    holds a third of all rows costs no more than another; values themselves are never gathered.
+    The base of all profiles and findings. Null values have null mask. Booleans and the allowed values of a watched
+    column are their own mask (``is_value``), so a foreign value of the same shape is told from them; ``n_base`` counts
+    the rows of the watched share's base. Counts combine before the shuffle, so a load or value that holds a third of
+    all rows costs no more than another; values themselves are never gathered.
     """
-    kinds = dict(df.dtypes)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), _typed_mask(F.col(c), kinds[c]).alias("mask")) for c in columns]))
-    flat = df.select(*load, cells.alias("cell")).select(*load, "cell.column_name", "cell.value", "cell.mask")
-    return flat.groupBy(*load, "column_name", "mask").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("value", F.lit(11)).alias("values"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    kinds, watched = dict(df.dtypes), {w.column: w for w in watches}
 
+    def cell(name: str) -> Column:
+        c, w = F.col(name), watched.get(name, Watch(name))
+        text, mask, own = c.cast("string"), _typed_mask(c, kinds[name]), F.lit(kinds[name] == "boolean") & c.isNotNull()
+        if w.allowed and kinds[name] != "boolean":
+            own = F.coalesce(text.isin(*w.allowed), F.lit(False))
+            mask = F.when(own, text).otherwise(mask)
+        base = F.lit(True) if w.share_among is None else F.coalesce(w.share_among, F.lit(False))
+        return F.struct(F.lit(name).alias("column_name"), text.alias("value"), mask.alias("mask"), own.alias("is_value"), base.alias("is_base"))
 
-def column_profile(df: DataFrame, load: list[str], order: str, columns: list[str], rare: float = 0.01) -> DataFrame:
+    flat = df.select(*load, F.explode(F.array(*map(cell, columns))).alias("cell")).select(*load, "cell.*")
+    return flat.groupBy(*load, "column_name", "mask", "is_value").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_base").alias("n_base"), F.hll_sketch_agg("value", F.lit(11)).alias("values"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+
+
+def column_profile(df: DataFrame, load: list[str], order: str, columns: list[str], rare: float = 0.01, watches: Sequence[Watch] = ()) -> DataFrame:
     """One row per load and column: rows, nulls, distinct values, range, rare-mask rows, and drift against the load before.
 
     Patterns are mined over all loads: a mask under ``rare`` of the column's non-null rows is rare, and ``n_rare`` counts
     the load's rows with such masks. ``drift`` is the total variation distance between the mask distributions (null being
-    one mask) of a load and of the one before it by ``order`` among the other load columns; null for the first.
+    one mask) of a load and of the one before it by ``order`` among the other load columns; null for the first. Booleans
+    and the allowed values of ``watches`` count as masks of their own.
     """
-    counts = staged(mask_counts(df, load, columns), "p4-masks")  # read four times below
+    counts = staged(mask_counts(df, load, columns, watches), "p4-masks")  # read four times below
     over_all = counts.groupBy("column_name", "mask").agg(F.sum("n").alias("m"))
     share = F.col("m") / F.sum(F.when(F.col("mask").isNotNull(), F.col("m"))).over(Window.partitionBy("column_name"))
     patterns = over_all.select("column_name", "mask", (F.col("mask").isNotNull() & (share < rare)).alias("is_rare"))
@@ -78,20 +96,25 @@ def column_profile(df: DataFrame, load: list[str], order: str, columns: list[str
 
 
 def watch_loads(df: DataFrame, load: list[str], watches: list[Watch]) -> DataFrame:
-    """``(load, column_name, n_rows, n_null, n_outside, n_base, n_hit)`` of each watched column, from one pass.
+    """``(load, column_name, n_rows, n_null, n_outside, n_base, n_hit)`` of each watched column, out of its mask counts.
 
-    ``n_outside`` counts non-null values that are not exactly in the allowed set, by value mask and value counts made
-    before the shuffle; ``n_hit`` of ``n_base`` is the watched share.
+    Masks that are values tell allowed values and the watched share exactly; any other mask of a column with an allowed
+    set holds foreign values only, and counts as ``n_outside``. ``n_hit`` of ``n_base`` is the watched share.
     """
-    def cell(w: Watch) -> Column:
-        v = F.col(w.column)
-        outside = (v.isNotNull() & ~v.cast("string").isin(*w.allowed)) if w.allowed else F.lit(False)
-        base = F.coalesce(w.share_among, F.lit(False)) if w.share_among is not None else F.lit(True)
-        hit = base & F.coalesce(w.share_of, F.lit(False)) if w.share_of is not None else F.lit(False)
-        return F.struct(F.lit(w.column).alias("column_name"), v.isNull().alias("is_null"), outside.alias("is_outside"), base.alias("is_base"), hit.alias("is_hit"))
-
-    flat = df.select(*load, F.explode(F.array(*map(cell, watches))).alias("cell")).select(*load, "cell.*")
-    return flat.groupBy(*load, "column_name").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(f"is_{k}").alias(f"n_{k}") for k in ("null", "outside", "base", "hit")])
+    kinds = dict(df.dtypes)
+    if any(w.share_of is not None and not w.allowed and kinds[w.column] != "boolean" for w in watches):
+        raise ValueError("a share needs allowed values or a boolean column")
+
+    def load_counts(w: Watch) -> DataFrame:
+        counts = mask_counts(df, load, [w.column], [w])
+        outside = F.col("mask").isNotNull() & ~F.col("is_value") if w.allowed else F.lit(False)
+        value = F.when(F.col("is_value"), F.col("mask")).cast(kinds[w.column])
+        hits = counts.select(*load, "column_name", "n", "n_base", F.col("mask").isNull().alias("is_null"), outside.alias("is_outside"), value.alias(w.column))
+        hit = F.coalesce(w.share_of, F.lit(False)) if w.share_of is not None else F.lit(False)
+        some = lambda flag, n: F.sum(F.when(flag, F.col(n)).otherwise(0))
+        return hits.groupBy(*load, "column_name").agg(F.sum("n").alias("n_rows"), some(F.col("is_null"), "n").alias("n_null"), some(F.col("is_outside"), "n").alias("n_outside"), F.sum("n_base").alias("n_base"), some(hit, "n_base").alias("n_hit"))
+
+    return reduce(DataFrame.unionByName, map(load_counts, watches))
 
 
 def load_findings(profile: DataFrame, rest: list[str], order: str, shift_tenths: int = 3) -> DataFrame:

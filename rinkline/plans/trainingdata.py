@@ -44,12 +44,17 @@ def _monday(c: str):
     return F.date_format(F.date_trunc("week", c), "yyyy-MM-dd")
 
 
+def _watches() -> dict[str, Watch]:
+    """The watched column of each operational table."""
+    done = Watch("status", RUN_STATUSES, F.col("status") == "SUCCESS", F.col("finished_at").isNotNull())
+    return {"ingestion_runs": done, "data_quality_runs": Watch("passed", None, F.col("passed"), F.col("passed").isNotNull())}
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads of ingestion_runs.status and data_quality_runs.passed with nulls, foreign values or a shifted share."""
     runs = table(spark, sf_dir, "ingestion_runs").withColumn("load_week", _monday("started_at"))
     checks = table(spark, sf_dir, "data_quality_runs").withColumn("load_week", _monday("checked_at"))
-    done = Watch("status", RUN_STATUSES, F.col("status") == "SUCCESS", F.col("finished_at").isNotNull())
-    passed = Watch("passed", None, F.col("passed"), F.col("passed").isNotNull())
+    done, passed = _watches().values()
     load = ["pipeline_name", "load_week"]
     both = [load_findings(watch_loads(df, load, [w]), ["pipeline_name"], "load_week").select(F.lit(n).alias("table_name"), "column_name", *load, "finding") for n, df, w in (("ingestion_runs", runs, done), ("data_quality_runs", checks, passed))]
     return both[0].unionByName(both[1])
@@ -61,7 +66,7 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, at in (("ingestion_runs", "started_at"), ("data_quality_runs", "checked_at")):
         df = table(spark, sf_dir, name).withColumn("load_week", _monday(at))
         columns = [c for c in df.columns if c not in ("pipeline_name", "load_week")]
-        out.append(column_profile(df, ["pipeline_name", "load_week"], "load_week", columns).select(F.lit(name).alias("table_name"), "*"))
+        out.append(column_profile(df, ["pipeline_name", "load_week"], "load_week", columns, watches=[_watches()[name]]).select(F.lit(name).alias("table_name"), "*"))
     return out[0].unionByName(out[1])
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rinkline.operators.profile import Watch, column_profile, load_findings, value_mask, watch_loads
+from rinkline.operators.profile import Watch, column_profile, load_findings, mask_counts, value_mask, watch_loads
 
 SCHEMA = "pipe string, week string, v string, done boolean, n long"
 
@@ -33,3 +33,13 @@ def test_column_profile(spark):
     assert abs(two.drift - 0.5) < 1e-6 and 95 <= one.n_distinct <= 105
     assert got[("1", "done")].n_null == 1
     assert column_profile(frame(spark, []), ["pipe", "week"], "week", ["v"]).count() == 0
+
+
+def test_boolean_and_allowed_values_are_their_own_masks(spark):
+    rows = [("p", "1", "OK", True, 1)] * 4 + [("p", "2", "OK", False, 1)] * 2 + [("p", "2", "KO", True, 1)] * 2
+    w = Watch("v", ("OK",))
+    got = {(r.week, r.column_name): r.drift for r in column_profile(frame(spark, rows), ["pipe", "week"], "week", ["v", "done"], watches=[w]).collect()}
+    assert got[("2", "done")] == 0.5  # both masks were 'a', and drift 0
+    assert got[("2", "v")] == 0.5  # OK and KO have the shape 'A'
+    counts = {(r.mask, r.is_value): r.n for r in mask_counts(frame(spark, rows), ["pipe"], ["v"], [w]).collect()}
+    assert counts == {("OK", True): 6, ("A", False): 2}
