@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rinkline.functions.parse import squashed
 from rinkline.operators.latest import latest_by_key
+from rinkline.operators.similar import pairs_over
 from rinkline.operators.staging_area import staged
 from rinkline.sources.html import table_rows
 from rinkline.sources.tables import table
@@ -94,37 +94,80 @@ def feed_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(kept, ["title_key"], order)
 
 
+#: Whitespace as Python reads it, which the reference's title normalisation does.
+_SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Titles in a block of comparisons, and of the first part of the greedy pass; each further part reaches PART times as far.
+BLOCK, FIRST, PART = 2048, 2000, 4
+
+
+def _plain_title(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"[^\p{{L}}\p{{N}}_{_SPACE}]", ""), f"[{_SPACE}]+", " "))
+
+
+def _similar(texts: DataFrame, earlier: DataFrame, limit: float, first: bool) -> DataFrame:
+    """``(item_id, other)``: titles with an earlier one of ``earlier`` in the same batch that they are over ``limit`` similar to.
+
+    Every title meets every earlier one, block by block, so that no task holds more than two blocks.
+    """
+    n = lambda df, name: df.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    grid = n(texts, "rows").join(n(earlier, "columns").withColumnRenamed("batch", "b"), F.col("batch").eqNullSafe(F.col("b"))).drop("b")
+    tasks = max(1, min(2000, grid.agg(F.sum(F.col("rows") * F.col("columns"))).first()[0] or 1))
+    grid = grid.withColumnRenamed("batch", "b")
+
+    def blocks(df: DataFrame, own: str, other: str, counts: tuple[str, str], names: list[str]) -> DataFrame:
+        spread = df.join(grid, F.col("batch").eqNullSafe(F.col("b"))).select("batch", "item_id", "t", F.pmod(F.xxhash64("item_id"), F.col(counts[0])).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(counts[1]) - 1)).alias(other))
+        key = [F.col(c).alias(n) for c, n in zip(("batch", "r", "c"), names, strict=True)]
+        return spread.select(*key, F.col("item_id").alias(f"{names[0]}_id"), F.col("t").alias(f"{names[0]}_t")).repartition(tasks, *names).groupBy(*names)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs_over(a["x_t"].tolist(), a["x_id"].to_numpy(), b["y_t"].tolist(), b["y_id"].to_numpy(), limit, first) if len(a) and len(b) else []
+        return pd.DataFrame(pairs, columns=["item_id", "other"], dtype="int64")
+
+    left, right = blocks(texts, "r", "c", ("rows", "columns"), ["x", "xr", "xc"]), blocks(earlier, "c", "r", ("columns", "rows"), ["y", "yr", "yc"])
+    return left.cogroup(right).applyInPandas(compare, "item_id long, other long")
+
+
 def greedy_distinct(items: DataFrame, limit: float = 0.70) -> DataFrame:
     """``(batch, item_id)`` of the items a greedy pass keeps: in order of id, each that is not over ``limit`` similar to a kept one.
 
-    ``items`` has ``(batch, item_id, title)``. Pairs of one batch meet by a shared word; their similarity is that of
-    matching blocks. The pass runs in rounds over the links: an item all of whose earlier neighbours are dropped is kept,
-    one with a kept earlier neighbour is dropped, until none is open.
+    ``items`` has ``(batch, item_id, title)``. Similarity is the ratio of matching blocks of the two normalised titles.
+    Equal titles are collapsed first (from 200 characters on the ratio of equal texts may be lower). The pass goes over the
+    ids in a few parts of growing size: what is similar to a title kept in earlier parts goes, and the rest of the part is
+    settled in rounds over its own links: an item all of whose earlier neighbours are dropped is kept, one with a kept
+    earlier neighbour is dropped, until none is open. So the work is that of titles times kept titles.
     """
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            m = difflib.SequenceMatcher(None, x, y)
-            return m.ratio() if m.real_quick_ratio() > limit and m.quick_ratio() > limit else 0.0  # the quick ones are upper bounds
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    i = items.select("batch", "item_id", squashed(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}_\s]", "")).alias("t"))
-    w = i.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
-    meets = w.join(w.select("batch", "w", F.col("item_id").alias("other"), F.col("t").alias("u")), ["batch", "w"]).where("other < item_id").select("item_id", "other", "t", "u").distinct()
-    links = staged(meets.where(ratio("u", "t") > limit).select("item_id", "other"), "titles")
-    state = staged(i.select("item_id").withColumn("kept", F.lit(None).cast("boolean")), "titles")
+    i = items.select("batch", "item_id", _plain_title(F.col("title")).alias("t"))
+    alone = F.when(F.length("t") >= 200, F.col("item_id")).alias("alone")
+    distinct = staged(i.groupBy("batch", "t", alone).agg(F.min("item_id").alias("item_id")).select("batch", "item_id", "t"), "titles")
+    total, shares = distinct.count(), []
+    while FIRST * PART ** len(shares) < total:
+        shares.append(FIRST * PART ** len(shares) / total)
+    cuts = distinct.agg(F.percentile_approx("item_id", shares, 10_000).alias("cuts")).first()["cuts"] if shares else []
+    kept, low = None, None
+    for high in [*cuts, None]:
+        part = distinct if low is None else distinct.where(F.col("item_id") > low)
+        part = part if high is None else part.where(F.col("item_id") <= high)
+        if kept is not None:
+            part = staged(part.join(staged(_similar(part, kept, limit, True), "titles"), "item_id", "left_anti"), "titles")
+        new = staged(_settled(part, staged(_similar(part, part, limit, False), "titles")), "titles")
+        kept, low = new if kept is None else kept.unionByName(new), high
+    return kept.select("batch", "item_id")
+
+
+def _settled(part: DataFrame, links: DataFrame) -> DataFrame:
+    """The titles of ``part`` that a greedy pass keeps, given its links to earlier ones."""
+    state = staged(part.select("item_id").withColumn("kept", F.lit(None).cast("boolean")), "titles")
     while state.where("kept is null").limit(1).count():
         seen = links.join(state.select(F.col("item_id").alias("other"), F.col("kept").alias("k")), "other").groupBy("item_id").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_or(F.col("k").isNull()).alias("open"))
         decided = F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         state = staged(state.join(seen, "item_id", "left").select("item_id", F.coalesce("kept", decided).alias("kept")), "titles")
-    return i.join(state.where("kept"), "item_id").select("batch", "item_id")
+    return part.join(state.where("kept"), "item_id", "left_semi")
 
 
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News items left after near-equal titles of the same source and written date are dropped."""
-    i = table(spark, sf_dir, "tmp_latest_silly")
-    return greedy_distinct(i.select(F.concat_ws("|", F.coalesce("source", F.lit("")), F.substring(F.coalesce("date", F.lit("")), 1, 10)).alias("batch"), "item_id", "title"))
+    """News items of all sources and days left after those are dropped whose title is near an earlier kept one, or empty."""
+    i = table(spark, sf_dir, "tmp_latest_silly").where(_plain_title(F.col("title")) != "")
+    return greedy_distinct(i.select(F.lit("").alias("batch"), "item_id", "title"))
 
 
 def tag_counts_window(spark: SparkSession, sf_dir: str) -> DataFrame:
