@@ -114,7 +114,7 @@ def _rated(games: DataFrame) -> DataFrame:
     number of games, however many seasons there are.
     """
     step = F.struct("game_date", "game_id", "home", "away", "hg", "ag", "is_ot")
-    season = games.where("hg is not null").groupBy("sg").agg(F.array_sort(F.collect_list(step)).alias("gs"))
+    season = games.where("hg is not null and home <> away").groupBy("sg").agg(F.array_sort(F.collect_list(step)).alias("gs"))
     empty = F.create_map().cast("map<string,double>")
 
     def play(m: Column, g: Column) -> Column:
@@ -125,7 +125,7 @@ def _rated(games: DataFrame) -> DataFrame:
         rest = F.map_filter(m, lambda k, v: (k != g["home"]) & (k != g["away"]))
         return F.map_concat(rest, F.map_from_arrays(F.array(g["home"], g["away"]), F.array(h + move, a - move)))
 
-    return season.where(F.forall("gs", lambda g: g["home"] != g["away"])).select("sg", F.aggregate("gs", empty, play).alias("ratings"))
+    return season.select("sg", F.aggregate("gs", empty, play).alias("ratings"))
 
 
 def rating_fold_per_season(spark: SparkSession, sf_dir: str) -> DataFrame:
