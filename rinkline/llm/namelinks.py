@@ -268,7 +268,7 @@ def _judge_udf(rarity: list[float]):
 
 def _meeting_parts():
     """The parts of a form by which it may meet others; clubs also meet by the first letters of their place."""
-    full = F.filter(F.slice(F.split("form", " "), 2, 1000), lambda t: (F.length(t) > 1) & ~t.startswith("/"))
+    full = F.filter(F.split("form", " "), lambda t, i: (i > 0) & (F.length(t) > 1) & ~t.startswith("/"))
     starts = F.transform(F.filter(full, lambda t: F.length(t) > 2), lambda t: F.concat(F.lit("^"), F.substring(t, 1, 3)))
     return F.array_distinct(F.when(F.col("form").startswith("t"), F.concat(full, starts)).otherwise(full))
 
@@ -430,7 +430,7 @@ def link_variants(strings: DataFrame, short_forms: dict[str, str], local: int =
     named = named.withColumn("f", _forms_udf(short_forms)("kind", "name", "odd")).select("kind", "league", "team_id", "name", "scope", "lists", F.col("f.form").alias("form"), F.col("f.damaged").alias("damaged"))
     named = staged(named, "p3-strings")
 
-    parts = named.select(F.explode(F.slice(F.split("form", " "), 2, 1000)).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = named.select(F.explode(F.filter(F.split("form", " "), lambda t, i: i > 0)).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     parts = staged(parts.where((F.length("part") > 1) & ~F.col("part").startswith("/")), "p3-parts")
     buckets = {r[0]: r[1] for r in parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(_BUCKETS))).agg(F.sum("n")).collect()}  # at most 65,536 rows
     total = max(1, sum(buckets.values()))

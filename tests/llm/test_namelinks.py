@@ -63,3 +63,9 @@ def test_closed_groups(spark):
     nodes = spark.range(n).withColumnRenamed("id", "node")
     chain = spark.createDataFrame([(k, k + 1) for k in range(n - 1) if k % 10 != 9], "a long, b long")
     assert {(r.node, r.label) for r in closed_groups(nodes, chain).collect()} == {(k, k // 10 * 10) for k in range(n)}
+
+
+def test_parts_of_very_long_names_all_meet(spark):
+    form = "p " + " ".join(f"part{k}" for k in range(1500))
+    got = spark.createDataFrame([(form,), ("t granvra",), ("p",)], "form string").select(N._meeting_parts().alias("parts")).collect()
+    assert [len(r.parts) for r in got] == [1500, 2, 0]
