@@ -12,7 +12,7 @@ from rinkline.functions.parse import squashed
 from rinkline.operators.latest import latest_by_key
 from rinkline.operators.similar import pairs_over
 from rinkline.operators.staging_area import staged
-from rinkline.sources.html import table_rows
+from rinkline.sources.html import article_texts, table_rows
 from rinkline.sources.tables import table
 
 
@@ -194,6 +194,13 @@ def html_rows_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_rows(pages, "page", "html").select(F.col("page_id").alias("page"), "row_no", F.col("cells")[0].cast("long").alias("row_id"), F.nullif(F.col("cells")[1], F.lit("")).cast("long").alias("rank"), F.col("cells")[2].cast("long").alias("games_played"), F.col("cells")[3].cast("long").alias("points"))
 
 
+def article_body_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News items written as article pages, a paragraph for each line, and their texts read back from them."""
+    text = F.replace(F.replace(F.coalesce("body", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><nav>Hem</nav><article><p>"), F.regexp_replace(text, "\n+", "</p>\n<p>"), F.lit("</p></article></html>"))
+    return article_texts(table(spark, sf_dir, "tmp_latest_silly").select("item_id", page.alias("html")), "item_id", "html").withColumnRenamed("page_id", "item_id")
+
+
 def schedule_row_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedule rows as a page shows them (the day only where it changes) parsed: day carried on, sides split, result read."""
     key = Window.partitionBy("sg").orderBy("match_date", "row_id")
@@ -206,7 +213,7 @@ def schedule_row_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("sg", "row_id", "match_date", squashed(F.expr("substring(game, 1, instr(game, ' - ') - 1)")).alias("home"), squashed(F.expr("substring(game, instr(game, ' - ') + 3)")).alias("away"), F.regexp_extract("result", r"^\s*(\d+)", 1).alias("home_goals"))
 
 
-QUERIES = {f.__name__: f for f in (news_filter_classify, text_sentiment, sentiment_distribution, new_since_previous, feed_merge_dedup, near_duplicate_titles, tag_counts_window, analysis_tags, html_rows_extract, schedule_row_parser)}
+QUERIES = {f.__name__: f for f in (news_filter_classify, text_sentiment, sentiment_distribution, new_since_previous, feed_merge_dedup, near_duplicate_titles, tag_counts_window, analysis_tags, html_rows_extract, article_body_extract, schedule_row_parser)}
 
 
 def _sql_any(words: tuple[str, ...]) -> str:
@@ -228,5 +235,6 @@ SQL = {
     "tag_counts_window": r"with i as (select tag, try_cast(regexp_extract(date, '^(\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8]))T', 1) as date) as day from tmp_latest_silly), z as (select max(day) newest from i) select tag, count(*) n, count(*) filter (where day > newest - 120) recent from i, z group by 1",
     "analysis_tags": "select json_extract_string(ai_analysis, '$.tag') tag, json_extract_string(ai_analysis, '$.confidence') confidence, count(*) n from tmp_latest_silly group by 1, 2",
     "html_rows_extract": "select season_group_id || '/' || epoch_us(scraped_at) page, cast(row_number() over (partition by season_group_id, scraped_at order by row_id) - 1 as int) row_no, row_id, rank, games_played, points from swehockey_standings",
+    "article_body_extract": r"select item_id, left(trim(regexp_replace(coalesce(body, ''), '[\s\x{a0}\x{2009}]+', ' ', 'g'), ' '), 1500) body from tmp_latest_silly",
     "schedule_row_parser": r"with g as (select season_group_id sg, row_id, match_date, concat_ws(' - ', home_team, away_team) game, coalesce(result, '') result from swehockey_schedule where match_date is not null) select sg, row_id, match_date, trim(regexp_replace(split_part(game, ' - ', 1), '\s+', ' ', 'g'), ' ') home, trim(regexp_replace(substr(game, instr(game, ' - ') + 3), '\s+', ' ', 'g'), ' ') away, regexp_extract(result, '^\s*(\d+)', 1) home_goals from g where contains(game, ' - ')",
 }

@@ -88,3 +88,14 @@ def body_text(html: str | None, longest: int = 1500) -> str:
     p = _Paragraphs()
     p.feed(html or "")
     return " ".join(" ".join(" ".join(p.out).split()).split())[:longest]
+
+
+def article_texts(pages: DataFrame, page_id: str, html: str, longest: int = 1500) -> DataFrame:
+    """``(page_id, body)``: :func:`body_text` of each page."""
+    kind = pages.schema[page_id].dataType.simpleString()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"page_id": pdf["page_id"], "body": [body_text(t, longest) for t in pdf["html"]]})
+
+    return pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).mapInPandas(read, f"page_id {kind}, body string")
