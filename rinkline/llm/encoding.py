@@ -27,7 +27,6 @@ _REREAD = (("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("
 
 _PLAIN, _RARE, _FOREIGN, _SIGN, _CONTROL = 0.02, 1.0, 2.0, 2.0, 3.0
 _UNDO, _REMAP, _RECASE = 0.25, 0.6, 0.3  # what a step costs; rereading one byte as another fits any text, so it must pay more
-_MAX_STATES = 150
 
 
 def _table(name: str) -> dict[str, int]:
@@ -146,8 +145,10 @@ def repair(s: str, question_marks: bool = False) -> tuple[str, bool, bool]:
     best, best_cost = s, first
     if first > _UNDO:
         seen, heap, count = {s}, [(first, 0, 0.0, False, s)], 1
-        while heap and count < _MAX_STATES:
+        while heap:
             estimate, _, spent, mapped, text = heapq.heappop(heap)
+            if spent >= best_cost:  # it and all that follow from it cost more than the best
+                continue
             if estimate - spent < _UNDO:  # nothing cheaper can be reached from a clean text
                 break
             for price, remapped, t in _steps(text, mapped):

@@ -65,3 +65,9 @@ def test_every_damaged_name_is_suspicious(spark):
     bad = [(n.encode(p).decode(r, "replace"),) for n in NAMES for p, r in WRONG]
     df = spark.createDataFrame([b for b in bad if repair(b[0])[1]], "s string")
     assert df.where(~suspicious(F.col("s"))).count() == 0
+
+
+def test_a_search_of_many_states_is_not_cut():
+    from rinkline.llm.encoding import repair
+
+    assert repair("uppdaterad â€“ uppgifter: thã©o ã–denã¥skar nã¤ra glimmvrã¥ ik", True)[0] == "uppdaterad – uppgifter: théo Ödenåskar nära glimmvrå ik"
