@@ -1,4 +1,4 @@
-"""Connected components of links, by labels that travel until none changes."""
+"""Connected components of links by alternating stars, in a number of rounds that grows with the logarithm of a path."""
 
 from __future__ import annotations
 
@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from rinkline.operators.staging_area import staged
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """One round on ``links(a, b)``, a > b: every larger neighbour is tied to the smallest, then every node and its
+    smaller neighbours to the smallest of them. Smallest ones are found map-side first, so a hub is one row per task."""
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    tied = large.join(low, "a")
+    small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+    return small.where("a != b").distinct()
+
+
 def closed_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, label)`` of ``nodes``: the smallest node of each connected component of ``edges(a, b)``.
 
-    Labels travel along edges until none changes; each round is written out, so it survives lost executors and its plan
-    stays short. Nothing but the number of changes reaches the driver.
+    Large and small stars alternate until the links no longer change; each round is written out, so it survives lost
+    executors and its plan stays short. A count and a checksum of the links are all that reaches the driver.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = staged(labels, "labels")
+    links = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    mark = None
     while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        step = staged(labels.join(offered, "node", "left").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")), "labels")
-        labels = step.select("node", "label")
-        if not step.where("moved").limit(1).count():
+        now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == mark or not now[0]:
             break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        links, mark = staged(_stars(links), "links"), now
+    return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

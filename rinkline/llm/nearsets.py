@@ -1,152 +1,189 @@
 """Near-duplicate texts: word sets whose Jaccard similarity reaches a threshold (problem 5).
 
-Texts are sets of word n-grams under one global order, rarest first, laid out as a prefix tree whose first level is a
-table keyed by n-gram. Two texts meet in the branch of an n-gram they share. A branch of up to ``width`` texts is walked
-by all of them; a wider one only by texts whose rarer n-grams leave it a chance, that is by those whose remaining
-n-grams could still make up the overlap (the remaining-length bound). Inside a branch a bit set of each text's words
-bounds the overlap from above before anything is paired. What is left is compared word by word.
+Every text is the set of its words (n-grams of one word, since the similarity is defined on words) under one global
+order, rarest first. The sets are stored in a prefix tree whose subtrees are shared out to tasks by their first label;
+a set is sent once to each task that holds a subtree it may stand in, and each task walks its subtrees in memory
+(:mod:`rinkline.llm.prefixtree`). What its bit sets cannot rule out is compared word by word.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from rinkline.llm.components import closed_groups
+from rinkline.llm.prefixtree import DEPTH, Part, path_part, probe_length
 from rinkline.operators.staging_area import staged
 
-GRAM = 5  # words in an n-gram
-WIDTH = 128  # texts in a branch that all of its texts walk
-SHARE = 0.2  # overlap of n-gram sets, as a share of a text's own, on which the bound for wider branches rests
-FEW_WORDS = 32  # texts with fewer distinct words meet by single words
-
-_WORD = re.compile(r"[^\W_]+")
-_LONGS = T.ArrayType(T.LongType())
-_SET = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("m", T.IntegerType()), *[T.StructField(f"b{i}", T.LongType()) for i in range(4)], T.StructField("words", _LONGS), T.StructField("grams", _LONGS)]
-)
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-
-
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text as its word set, its n-grams, a bit set of its words and a key of the set."""
-    known: dict[str, int] = {}
-    for pdf in batches:
-        out = []
-        for i, text in zip(pdf["id"], pdf["text"], strict=True):
-            words = _WORD.findall(text.lower())
-            if not words:
-                continue
-            for w in words:
-                if w not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[w] = xxhash.xxh64_intdigest(w.encode())
-            try:
-                h = np.array([known[w] for w in words], dtype=np.uint64)
-            except KeyError:  # the memo was emptied on the way
-                h = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], dtype=np.uint64)
-            s = np.unique(h)
-            if len(h) >= GRAM:
-                g = h[: len(h) - GRAM + 1] * _MIX[0]
-                for k in range(1, GRAM):
-                    g = (g ^ (g >> np.uint64(29))) + h[k : len(h) - GRAM + 1 + k] * _MIX[k]
-                g = np.unique(g)
-            else:
-                g = np.zeros(0, dtype=np.uint64)
-            bits = np.zeros(256, dtype=bool)
-            bits[(s >> np.uint64(7)) & np.uint64(255)] = True
-            b = np.packbits(bits).view(np.int64)
-            out.append((i, xxhash.xxh64(s.tobytes()).intdigest() - (1 << 63), len(s), len(g), *map(int, b), s.view(np.int64), g.view(np.int64)))
-        yield pd.DataFrame(out, columns=_SET.names)
+ORDER_BUCKETS = 1 << 18  # hashed word counts that make the global order; any order gives the same result
+PART_ENTRIES = 4_000_000  # entries of the tree's first level that one task holds, about
+HOT_TEXTS = 500_000  # a first-level node with more texts is shared out by its second label
+BITS = 256
+
+_RECORD = "part int, node long, n int, " + ", ".join(f"b{i} long" for i in range(BITS // 64)) + ", labels array<int>"
+
+
+def text_words(text: Column) -> Column:
+    """Hashes of the distinct words of a text: runs of letters and digits, lower-cased."""
+    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def set_key(words: Column) -> Column:
+    return F.xxhash64(F.sort_array(words))
 
 
 def word_sets(df: DataFrame, item_id: str, text: Column) -> DataFrame:
-    """The sets of all texts, written once. Texts without words (or null) have no set."""
-    rows = df.select(F.col(item_id).cast("long").alias("id"), text.alias("text")).where("text is not null")
-    return staged(rows.mapInPandas(_describe, _SET), "p5-sets")
-
-
-def _may_reach(threshold: float) -> Column:
-    """Whether two sets, by their sizes and bit sets, can reach the threshold: each bit that one has alone is a word it has alone."""
-    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(4)), F.lit(0))
-    need = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
-    return (F.least("x.n", "y.n") >= need) & (F.col("x.n") - alone("x", "y") >= need) & (F.col("y.n") - alone("y", "x") >= need)
-
-
-def _branch_pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    x, y = entries.alias("x"), entries.alias("y")
-    met = x.join(y, F.col("x.g") == F.col("y.g")).where((F.col("x.node") < F.col("y.node")) & _may_reach(threshold))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``: keys of different word sets with Jaccard similarity of at least ``threshold``, each pair once."""
-    own = ["node", "n", "m", "b0", "b1", "b2", "b3"]
-    long_ones = sets.where(F.col("n") >= FEW_WORDS)
-    entries = long_ones.select(*own, F.explode("grams").alias("g"))
-    often = entries.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = staged(entries.join(often, "g"), "p5-branches")
-    narrow = _branch_pairs(shared.where(F.col("df") <= WIDTH).select("g", *own), threshold)
-
-    wide = shared.where(F.col("df") > WIDTH).select("node", "g", "df", "m").distinct()
-    chance = Window.partitionBy("node")
-    ranked = wide.withColumn("f", F.count(F.lit(1)).over(chance)).withColumn("need", F.ceil(F.col("m") * SHARE)).where("f >= need")
-    walked = ranked.withColumn("k", F.row_number().over(chance.orderBy("df", "g"))).where("k <= f - need + 1").select("node", "g")
-    walkers = walked.join(long_ones.select(*own).dropDuplicates(["node"]), "node").select("g", *own)
-    pairs = narrow.unionByName(_branch_pairs(walkers, threshold))
-
-    few = math.ceil(FEW_WORDS / threshold)
-    short = sets.where(F.col("n") < few).dropDuplicates(["node"])
-    if short.limit(1).count():
-        by_word = short.select(*own, F.explode("words").alias("g"))
-        counted = by_word.join(by_word.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "g")
-        # words that only one text has come first in the global order
-        ranks = counted.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node")))
-        prefix = ranks.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        pairs = pairs.unionByName(_branch_pairs(prefix.select("g", *own), threshold))
-    found = staged(pairs.distinct(), "p5-candidates")
-    needed = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    words = sets.select("node", "words").join(needed, "node").groupBy("node").agg(F.any_value("words").alias("words"))
+    """``(id, node, w)``: the sets of all texts, written once, words as 32-bit hashes; texts without words have no set."""
+    rows = df.select(F.col(item_id).cast("long").alias("id"), text_words(text).alias("words")).where(F.size("words") > 0)
+    return staged(rows.select("id", set_key(F.col("words")).alias("node"), F.transform("words", lambda h: F.shiftright(h, 32).cast("int")).alias("w")), "p5-sets")
+
+
+def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = a.offsets.to_numpy()
+    return a.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    for b in batches:
+        if b.num_rows:
+            counts += np.bincount(_lists(b.column("w"))[0] & (ORDER_BUCKETS - 1), minlength=ORDER_BUCKETS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+
+
+def _records(order: np.ndarray, parts: int, hot_from: int, threshold: float):
+    """Sets as ordered prefixes, one record for each part that holds a subtree of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of one set leave a task once
+        for b in batches:
+            node = b.column("node").to_numpy()
+            new = []
+            for i, x in enumerate(node.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            if not new:
+                continue
+            b, node = b.take(pa.array(new)), node[new]
+            w, n = _lists(b.column("w"))
+            row = np.repeat(np.arange(len(n)), n)
+            bits = np.zeros((len(n), BITS), dtype=bool)
+            bits[row, (w >> 18) & (BITS - 1)] = True
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            label = order[w & (ORDER_BUCKETS - 1)]
+            at = np.argsort((label.astype(np.int64) << 32) | w.astype(np.uint32), kind="stable")
+            at = at[np.argsort(row[at], kind="stable")]
+            label = label[at]
+            start = np.cumsum(n) - n
+            pos = np.arange(len(row)) - start[row]
+            probe = probe_length(n.astype(np.int64), threshold)
+            kept = np.minimum(n, probe + DEPTH - 1)
+            first = pos < probe[row]
+            cold = first & (label < hot_from)
+            r, p = [row[cold]], [label[cold] % parts]
+            for i in np.flatnonzero(first & (label >= hot_from)):
+                k = row[i]
+                behind = label[i + 1 : start[k] + min(n[k], probe[k] + 1)]
+                p.append(path_part(label[i], behind, parts))
+                r.append(np.full(len(behind), k))
+            goes = np.unique(np.concatenate(r) * parts + np.concatenate(p))
+            rows = goes // parts
+            inside = pos < kept[row]
+            prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(label[inside].astype(np.int32)))
+            for k in range(0, len(rows), 20_000):
+                q = rows[k : k + 20_000]
+                columns = [pa.array((goes[k : k + 20_000] % parts).astype(np.int32)), pa.array(node[q]), pa.array(n[q].astype(np.int32)), *[pa.array(packed[q, i]) for i in range(BITS // 64)], prefixes.take(pa.array(q))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "node", "n", *[f"b{i}" for i in range(BITS // 64)], "labels"])
+
+    return run
+
+
+def _walk(parts: int, hot_from: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        of = t.column("part").to_numpy()
+        for part in np.unique(of):
+            mine = t.filter(pa.array(of == part)) if (of != part).any() else t
+            labels, lengths = _lists(mine.column("labels"))
+            bits = np.stack([mine.column(f"b{i}").to_numpy() for i in range(BITS // 64)], axis=1)
+            a, b = Part(mine.column("node").to_numpy(), mine.column("n").to_numpy(), bits, labels, lengths.astype(np.int64), threshold).pairs(int(part), parts, hot_from)
+            for k in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[k : k + 50_000]), pa.array(np.maximum(a, b)[k : k + 50_000])], names=["a", "b"])
+
+    return run
+
+
+def candidate_sets(sets: DataFrame, threshold: float, part_entries: int = PART_ENTRIES, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """``(a, b)``, a < b: keys of the different sets that may reach the threshold: all that do are among them.
+
+    The order of words is by their hashed counts over all texts (``ORDER_BUCKETS`` numbers, whatever the input).
+    """
+    spark = sets.sparkSession
+    counted = sets.select("w").mapInArrow(_word_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    by_count = np.argsort(counts, kind="stable")
+    order = np.empty(ORDER_BUCKETS, dtype=np.int32)
+    order[by_count] = np.arange(ORDER_BUCKETS)
+    hot_from = int(np.searchsorted(counts[by_count], hot_texts, side="right"))
+    parts = int(max(spark.sparkContext.defaultParallelism, -(-int(counts.sum() * (1 - threshold)) // part_entries)))
+    records = sets.select("node", "w").mapInArrow(_records(order, parts, hot_from, threshold), _RECORD)
+    return records.repartitionById(parts, F.col("part")).mapInArrow(_walk(parts, hot_from, threshold), "a long, b long").distinct()
+
+
+def similar_sets(df: DataFrame, item_id: str, text: Column, sets: DataFrame, threshold: float, **limits: int) -> DataFrame:
+    """``(a, b)``: keys of different word sets with Jaccard similarity of at least ``threshold``, each pair once.
+
+    Candidates are compared on the words of one text of each set, read again by its id.
+    """
+    found = staged(candidate_sets(sets, threshold, **limits), "p5-candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    read = staged(sets.select("id", "node").join(ends, "node").groupBy("node").agg(F.min("id").alias("id")), "p5-compared")
+    texts = df.select(F.col(item_id).cast("long").alias("id"), text.alias("text")).join(read.select("id").distinct(), "id", "left_semi").select("id", text_words(F.col("text")).alias("words"))
+    words = texts.withColumn("node", set_key(F.col("words"))).join(read, ["id", "node"]).groupBy("node").agg(F.any_value("words").alias("words"))
     both = found.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(common >= (F.size("wa") + F.size("wb") - common) * F.lit(threshold) - 1e-9).select("a", "b")
 
 
-def near_pairs(df: DataFrame, item_id: str, text: Column, threshold: float = 0.6) -> DataFrame:
+def near_pairs(df: DataFrame, item_id: str, text: Column, threshold: float = 0.6, **limits: int) -> DataFrame:
     """``(item_a, item_b)``, item_a < item_b: all pairs of items whose word sets reach the threshold, equal sets included.
 
-    Items with equal sets are one node until the end, so copies, however many, are compared once. Counts of n-grams are
-    made with map-side combine; hot branches are split by adaptive execution.
+    Exact: no pair is missed, whatever the order, place or number of the edits. Items with equal sets are one node until
+    the end, so copies, however many, are compared once, and leave a task once. A node of the tree that holds very many
+    texts is shared out over tasks by its second label.
 
     Defined results: null texts, and texts without a word, are in no pair; repeated ids pair with others but not with
-    themselves; texts of any length are taken whole; an empty table gives no rows. Pairs of texts with ``FEW_WORDS`` words
-    or more that share no five words in a row are not looked for.
+    themselves; texts of any length are taken whole; an empty table gives no rows; other columns are ignored.
     """
     sets = word_sets(df, item_id, text)
-    pairs = similar_sets(sets, threshold)
+    pairs = similar_sets(df, item_id, text, sets, threshold, **limits)
     members = sets.select("id", "node")
     other = pairs.join(members.select(F.col("node").alias("a"), F.col("id").alias("p")), "a").join(members.select(F.col("node").alias("b"), F.col("id").alias("q")), "b").select("p", "q")
     copies = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
     same = members.join(copies, "node")
     equal = same.select("node", F.col("id").alias("p")).join(same.select("node", F.col("id").alias("q")), "node").where("p < q").select("p", "q")
-    return other.where("p != q").unionByName(equal).select(F.least("p", "q").alias("item_a"), F.greatest("p", "q").alias("item_b"))
+    return other.where("p != q").unionByName(equal).select(F.least("p", "q").alias("item_a"), F.greatest("p", "q").alias("item_b")).distinct()
 
 
-def near_classes(df: DataFrame, item_id: str, text: Column, threshold: float = 0.6) -> DataFrame:
+def near_classes(df: DataFrame, item_id: str, text: Column, threshold: float = 0.6, **limits: int) -> DataFrame:
     """``(item_id, class_id, n_links)``: one row per item with a set: the smallest item of its class, and how many distinct
-    other word sets of the class it is directly similar to. Copies are not paired."""
-    from rinkline.llm.components import closed_groups
-
+    other word sets of the class it is directly similar to. Copies are not paired. Otherwise as :func:`near_pairs`."""
     sets = word_sets(df, item_id, text)
-    pairs = staged(similar_sets(sets, threshold), "p5-links")
+    pairs = staged(similar_sets(df, item_id, text, sets, threshold, **limits), "p5-links")
     nodes = sets.select("node").distinct()
     links = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     grouped = sets.select("id", "node").join(closed_groups(nodes, pairs), "node").join(links, "node", "left")

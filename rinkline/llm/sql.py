@@ -35,8 +35,20 @@ words as (select item_id, len(w) n, unnest(w) x from items),
 met as (select a.item_id item_a, b.item_id item_b, any_value(a.n) n, any_value(b.n) m, count(*) k from words a join words b on a.x = b.x and a.item_id < b.item_id and least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) group by 1, 2)
 select item_a, item_b from met where k >= 0.6 * (n + m - k) - 1e-9"""
 
+_CLASSES = """
+with recursive sets as (select item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, body)), '[\\p{L}\\p{N}]+'))), ' ') s from tmp_latest_silly where body is not null),
+pairs as (""" + _NEAR + """),
+keyed as (select item_id, s, min(item_id) over (partition by s) k from sets where s <> ''),
+links as (select distinct a.k a, b.k b from pairs join keyed a on a.item_id = item_a join keyed b on b.item_id = item_b where a.k <> b.k),
+sides as (select a, b from links union select b, a from links),
+reach as (select distinct k a, k b from keyed union select reach.a, sides.b from reach join sides on sides.a = reach.b),
+tops as (select a, min(b) class_id from reach group by 1),
+degree as (select a, count(*) n from sides group by 1)
+select item_id, class_id, coalesce(n, 0) n_links from keyed join tops on tops.a = k left join degree on degree.a = k"""
+
 SQL = {
     "p5_found": _NEAR,
+    "p5_classes": _CLASSES,
     "p1_found": _copies("swehockey_player_stats", _PLAYER) + " union all " + _copies("swehockey_schedule", _GAME),
     "p1_collapsed": _collapsed("swehockey_player_stats", _PLAYER) + " union all " + _collapsed("swehockey_schedule", _GAME),
 }

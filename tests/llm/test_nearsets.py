@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rinkline.llm.nearsets import near_classes, near_pairs
@@ -31,9 +32,9 @@ def articles(seed, n, versions, words=70):
     return out
 
 
-def check(spark, items):
+def check(spark, items, **limits):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item long, body string, node string, n long")
-    got = [(r.item_a, r.item_b) for r in near_pairs(df, "item", F.col("body")).collect()]
+    got = [(r.item_a, r.item_b) for r in near_pairs(df, "item", F.col("body"), **limits).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -55,6 +56,52 @@ def test_more_versions_than_a_branch_is_wide(spark):
     assert check(spark, items) == brute(items)
 
 
+def edited(seed, n=30, words=60, vocabulary=300):
+    """Texts of few words, each with every fifth word changed, shuffled with one edit, in moved blocks, and cut."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        base = [f"w{int(vocabulary * rng.random() ** 2)}" for _ in range(words)]
+        fifth = [f"x{k}y{i}" if i % 5 == 0 else w for i, w in enumerate(base)]
+        mixed = rng.sample(base, len(base))
+        mixed[0] = f"z{k}"
+        moved = base[40:] + base[20:40] + base[:20]
+        out += [base, fifth, mixed, moved, base[: int(words * 0.65)]]
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_edits_of_every_kind(spark):
+    items = edited(11)
+    assert len(brute(items)) > 200
+    assert check(spark, items) == brute(items)
+
+
+def test_hot_first_words_are_shared_out(spark):
+    items = edited(12, n=20, vocabulary=60)
+    assert check(spark, items, hot_texts=3, part_entries=500) == brute(items)
+
+
+def test_wide_nodes_are_parted(spark, monkeypatch):
+    from rinkline.llm import prefixtree
+    from rinkline.llm.nearsets import probe_length
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(3, 30))) for _ in range(300)]
+    n = np.array([len(s) for s in sets])
+    bits = np.zeros((300, 256), dtype=bool)
+    for i, s in enumerate(sets):
+        bits[i, s % 32] = True
+    kept = np.minimum(n, probe_length(n, 0.6) + prefixtree.DEPTH - 1)
+    labels = np.concatenate([s[:k] for s, k in zip(sets, kept, strict=True)]).astype(np.int32)
+    want = {(i, j) for i in range(300) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))}
+    for wide, small in ((400, 2000), (3, 4), (1, 0)):
+        monkeypatch.setattr(prefixtree, "WIDE", wide)
+        monkeypatch.setattr(prefixtree, "_SMALL", small)
+        part = prefixtree.Part(np.arange(300), n, np.packbits(bits, axis=1).view(np.int64), labels, kept, 0.6)
+        a, b = part.pairs(0, 1, 1 << 30)
+        assert want <= {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+
+
 def test_short_texts_copies_nulls(spark):
     items = [(1, "a b c"), (2, "a b c d"), (3, "c b a"), (4, None), (5, ""), (6, "!!"), (7, "x"), (8, "X."), (9, "a b c d e f g h"), (10, "word " * 50_000), (11, "Word")]
     assert check(spark, items) == brute(items)
@@ -75,3 +122,14 @@ def test_classes(spark):
     assert len(got) == len(items)
     for a, b in brute(items):
         assert got[a][0] == got[b][0]
+
+
+def test_a_long_chain_is_one_group(spark):
+    from rinkline.llm.components import closed_groups
+
+    rng = random.Random(9)
+    names = rng.sample(range(1000), 200)
+    nodes = spark.createDataFrame([(k,) for k in range(1000)], "node long")
+    edges = spark.createDataFrame([*zip(names, names[1:]), (5000, 5000)], "a long, b long")
+    got = {r.node: r.label for r in closed_groups(nodes, edges).collect()}
+    assert all(got[k] == (min(names) if k in names else k) for k in range(1000))
