@@ -78,7 +78,7 @@ def _records(order: np.ndarray, parts: int, hot_from: int, threshold: float):
             w, n = _lists(b.column("w"))
             row = np.repeat(np.arange(len(n)), n)
             bits = np.zeros((len(n), BITS), dtype=bool)
-            bits[row, (w >> 18) & (BITS - 1)] = True
+            bits[row, (w >> 18) % (BITS - 1)] = True
             packed = np.packbits(bits, axis=1).view(np.int64)
             label = order[w & (ORDER_BUCKETS - 1)]
             at = np.argsort((label.astype(np.int64) << 32) | w.astype(np.uint32), kind="stable")

@@ -12,9 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 DEPTH = 5  # levels of the tree; a node this deep is compared whatever its width
-WIDE = 400  # a node with more than WIDE * WIDE pairs is parted further
+WIDE = 6_000  # a node with more than WIDE * WIDE pairs is parted further
 _SMALL = 2_000  # nodes with fewer pairs are compared together
-_CHUNK = 2_000_000  # pairs held at a time
+_CHUNK = 500_000  # pairs gathered at a time
+_TILE = 65_536  # pairs of a wide node compared in one step
 
 
 def probe_length(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -78,13 +79,16 @@ class Part:
         cost = np.add.reduceat(indexed.astype(np.int64), first) * (size - 1)
         wide = (cost > WIDE * WIDE) & (depth < DEPTH)
         small = (cost > 0) & (cost <= _SMALL)
-        self._small_nodes(row, indexed, first[small], size[small])
-        for f, m in zip(first[(cost > _SMALL) & ~wide], size[(cost > _SMALL) & ~wide], strict=True):
-            self._node(row[f : f + m], indexed[f : f + m])
+        skipped = pos - (depth - 1)  # labels passed over on the way
+        self._small_nodes(row, skipped, indexed, first[small], size[small])
+        compared = (cost > _SMALL) & ~wide
+        for f, m in zip(first[compared], size[compared], strict=True):
+            self._node(row[f : f + m], skipped[f : f + m])
         for f, m in zip(first[wide], size[wide], strict=True):
             self._level(*self._after(row[f : f + m], pos[f : f + m], depth + 1), depth + 1)
 
-    def _small_nodes(self, row: np.ndarray, indexed: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+    def _small_nodes(self, row: np.ndarray, skipped: np.ndarray, indexed: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Nodes of few sets, pair by pair, many nodes at a time."""
         if not len(first):
             return
         entries = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -98,28 +102,41 @@ class Part:
             i = np.repeat(e, k)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
             a, b = row[i], row[j]
-            keep = (a != b) & (self.n[a] >= self.threshold * self.n[b] - 1e-9)
-            a, b = a[keep], b[keep]
-            x = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1)
-            self._add(a, b, x + np.minimum(self.spare[a], self.spare[b]) >= self.need[a] + self.need[b] - 1e-6)
+            least = self.need[a] + self.need[b] - 1e-6
+            keep = (a != b) & (self.n[a] - skipped[i] >= least) & (self.n[b] - skipped[j] >= least)
+            self._compare(a[keep], b[keep])
             begin = end
 
-    def _node(self, row: np.ndarray, indexed: np.ndarray) -> None:
-        left, right = np.unique(row[indexed]), np.unique(row)
-        step = max(1, _CHUNK // (4 * len(left)))
-        for k in range(0, len(right), step):
-            b = right[k : k + step]
-            a = left[(left < b[-1]) & (self.n[left] >= self.threshold * self.n[b[0]] - 1e-9)]
-            if not len(a):
+    def _node(self, row: np.ndarray, skipped: np.ndarray) -> None:
+        """A node of many sets: runs of larger sets against the smaller ones that may still skip so much. Bit sets have at
+        most 255 bits, so one byte holds a count."""
+        room = self.n[row] - self.need[row] - skipped + 1e-6
+        indexed = room >= self.n[row] * self.c
+        left, left_room = row[indexed], room[indexed]
+        small, bits, spare, need = self.n[left], self.bits[left], self.spare[left], self.need[left]
+        step = max(32, _TILE // max(1, len(left)))
+        for k in range(0, len(row), step):
+            right = row[k : k + step]
+            low = self.n[right[0]]
+            fits = np.flatnonzero((left_room >= low * self.c) & (small >= self.threshold * low - 1e-9) & (left < right[-1]))
+            if not len(fits):
                 continue
-            x = np.zeros((len(a), len(b)), dtype=np.float32)
-            for w in range(self.bits.shape[1]):
-                x += np.bitwise_count(self.bits[a, w][:, None] & self.bits[b, w][None, :])
-            least = np.maximum((self.need[a] - self.spare[a])[:, None] + self.need[b][None, :], self.need[a][:, None] + (self.need[b] - self.spare[b])[None, :])
-            i, j = np.nonzero(x >= least - 1e-3)
-            self._add(a[i], b[j], (a[i] < b[j]) & (self.n[a[i]] >= self.threshold * self.n[b[j]] - 1e-9))
-
-    def _add(self, a: np.ndarray, b: np.ndarray, keep: np.ndarray) -> None:
+            floor = np.ceil(need[fits] + self.need[right[0]] - np.minimum(spare[fits], self.spare[right].max()) - 1e-6)
+            own, other = bits[fits], self.bits[right]
+            shared = np.bitwise_count(own[:, :1] & other[:, 0])
+            for w in range(1, bits.shape[1]):
+                shared += np.bitwise_count(own[:, w : w + 1] & other[:, w])
+            i, j = np.nonzero(shared >= np.clip(floor, 0, 255).astype(np.uint8)[:, None])
+            a, b = left[fits[i]], right[j]
+            keep = a < b
+            self._compare(a[keep], b[keep])
+
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Keeps the pairs that the bit sets do not rule out: a bit only one has is a word only it has."""
+        if not len(a):
+            return
+        shared = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1)
+        keep = (shared + np.minimum(self.spare[a], self.spare[b]) >= self.need[a] + self.need[b] - 1e-6) & (self.n[a] >= self.threshold * self.n[b] - 1e-9)
         if keep.any():
             self.found.append(np.unique(a[keep] * len(self.n) + b[keep]))
 
