@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rinkline.operators.profile import Watch, column_profile, load_findings, mask_counts, value_mask, watch_loads
+from rinkline.operators.profile import LONG_MASK, Watch, column_profile, mask_counts, value_mask
 
 SCHEMA = "pipe string, week string, v string, done boolean, n long"
 
@@ -18,10 +18,18 @@ def test_masks(spark):
 
 def test_findings_and_exact_border(spark):
     rows = [("p", "1", "OK", True, 1)] * 7 + [("p", "1", "BAD", True, 1)] * 3 + [("p", "2", "OK", True, 1)] * 4 + [("p", "2", "BAD", True, 1)] * 6 + [("p", "3", None, False, 1)] + [("p", "4", "ok", True, 1)] + [(None, "1", "OK", True, 1)]
-    w = Watch("v", ("OK", "BAD"), F.col("v") == "OK", F.col("done"))
-    got = {(r.pipe, r.week, r.finding) for r in load_findings(watch_loads(frame(spark, rows), ["pipe", "week"], [w]), ["pipe"], "week").collect()}
-    assert got == {("p", "2", "shift"), ("p", "3", "null"), ("p", "4", "invalid"), ("p", "4", "shift")}
-    assert load_findings(watch_loads(frame(spark, []), ["pipe", "week"], [w]), ["pipe"], "week").count() == 0
+    w = Watch("v", ("OK", "BAD"), lambda v: v == "OK", lambda: F.col("done"))
+    found = lambda df: {(r.pipe, r.week, f) for r in column_profile(df, ["pipe", "week"], "week", ["v"], watches=[w], ranges=False).collect() for f in r.findings}
+    assert found(frame(spark, rows)) == {("p", "2", "shift"), ("p", "3", "null"), ("p", "4", "invalid"), ("p", "4", "shift")}
+    assert found(frame(spark, [])) == set()
+
+
+def test_ranges_are_typed(spark):
+    rows = [(None, "1", "a", True, k) for k in (9, 10, 100, -2)] + [(None, "2", "Some longer text, with (many) signs; and more: of them!", None, None)]
+    got = {(r.week, r.column_name): r for r in column_profile(frame(spark, rows), ["pipe", "week"], "week", ["n", "v"]).collect()}
+    assert (got[("1", "n")].min_value, got[("1", "n")].max_value) == ("-2", "100")
+    assert (got[("2", "n")].min_value, got[("2", "n")].n_null, got[("2", "n")].drift) == (None, 1, 1.0)
+    assert got[("2", "v")].top_mask.startswith("~") and len(got[("2", "v")].top_mask) <= LONG_MASK
 
 
 def test_column_profile(spark):
