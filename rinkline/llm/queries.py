@@ -11,7 +11,7 @@ from rinkline.llm.namelinks import link_variants, linked_pairs, short_given_name
 from rinkline.llm.nearsets import near_classes, near_pairs
 from rinkline.llm.mixing import draws, memberships, fit_classifier, reached_shares, soft_cells
 from rinkline.llm.packing import fill_report, pack
-from rinkline.llm.textstats import text_quality
+from rinkline.llm.textstats import text_quality, text_statistics
 from rinkline.llm.tokens import sized
 from rinkline.sources.tables import table
 
@@ -131,7 +131,8 @@ def p9_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of which less than half the characters belong to running sentences."""
+    """Documents of which less than half the characters belong to running sentences: those in the lower hump of the share's
+    distribution in their language, as its sketch parts it."""
     return text_quality(table(spark, sf_dir, "documents")).where(F.array_contains("tails", "running_share")).select("doc_id")
 
 
@@ -140,4 +141,10 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_restored": p7_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_draws": p9_draws, "p9_shares": p9_shares, "p9_memberships": p9_memberships, "p10_found": p10_found, "p10_quality": p10_quality}
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain statistics of every document."""
+    stats = text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return stats.select("doc_id", "lang", F.col("n_words").cast("long").alias("n_words"), *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share")])
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_restored": p7_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_draws": p9_draws, "p9_shares": p9_shares, "p9_memberships": p9_memberships, "p10_found": p10_found, "p10_quality": p10_quality, "p10_statistics": p10_statistics}

@@ -1,5 +1,7 @@
 """SQL with the same results, where SQL can express them."""
 
+from rinkline.llm.textstats import COMMON
+
 _PARTS = r"array_to_string(list_sort(list_filter(string_split_regex(lower(upper({c})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')), ' ')"
 _CODE = r"lower(translate({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8201) || '.,;:-_/*''\"()', ''))"
 _NUMBERS = r"coalesce(nullif(array_to_string(regexp_extract_all({c}, '\d+'), '-'), ''), " + _PARTS + ")"
@@ -46,7 +48,20 @@ tops as (select a, min(b) class_id from reach group by 1),
 degree as (select a, count(*) n from sides group by 1)
 select item_id, class_id, coalesce(n, 0) n_links from keyed join tops on tops.a = k left join degree on degree.a = k"""
 
+_SPACE = r"\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STATISTICS = rf"""
+with lines as (select doc_id, unnest(string_split_regex(coalesce(text, ''), '[\r\n\x{{2028}}\x{{2029}}\x0b\x0c\x{{85}}]+')) line from documents),
+kept as (select doc_id, regexp_replace(line, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') line from lines),
+read as (select doc_id, line, length(line) n, regexp_extract_all(lower(line), '[\p{{L}}\p{{Nl}}\p{{No}}]+') w from kept where line <> ''),
+per as (select doc_id, sum(len(w)) words, sum(length(array_to_string(w, ''))) letters, sum(n) total, count(*) lines,
+  sum(len(list_filter(w, lambda x: list_contains(COMMON, x)))) common, sum(length(regexp_replace(line, '[\p{{L}}\p{{N}}_{_SPACE}]', '', 'g'))) symbols, sum(length(regexp_replace(line, '[^\p{{Nd}}]', '', 'g'))) digits,
+  sum(case when strpos('.!?…:;"”’'')', right(line, 1)) > 0 then 1 else 0 end) ends from read group by 1)
+select doc_id, coalesce(nullif(regexp_extract(lower(lang), '^[^a-z0-9_]*([a-z]{{2,3}})(?:[-_].*)?[^a-z0-9_]*$', 1), ''), 'und') lang, cast(coalesce(words, 0) as bigint) n_words,
+  round(coalesce(letters / nullif(words, 0), 0), 6) mean_word_length, round(coalesce(symbols / total, 0), 6) symbol_ratio, round(coalesce(digits / total, 0), 6) digit_ratio, round(coalesce(ends / lines, 0), 6) punctuated_lines, round(coalesce(common / nullif(words, 0), 0), 6) common_share
+from documents left join per using (doc_id)""".replace("COMMON", "[" + ", ".join(f"'{w}'" for w in sorted(COMMON)) + "]")
+
 SQL = {
+    "p10_statistics": _STATISTICS,
     "p5_found": _NEAR,
     "p5_classes": _CLASSES,
     "p1_found": _copies("swehockey_player_stats", _PLAYER) + " union all " + _copies("swehockey_schedule", _GAME),

@@ -38,3 +38,33 @@ def test_labels(spark):
     got = {r.doc_id: "running_share" in r.tails for r in text_quality(docs).collect()}
     pairs = [(got[r.doc_id], r.label != "prose") for r in labels.collect() if r.doc_id in got]
     assert sum(a == b for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_humps():
+    from rinkline.llm.textstats import parting
+
+    assert parting([]) is None and parting([1.0] * 50) is None
+    assert parting([k / 200 for k in range(200)]) is None  # flat: one hump
+    assert abs(parting([0.1] * 60 + [0.9] * 140) - 0.5) < 1e-9
+
+
+def test_words_are_learned_where_there_is_no_list(spark):
+    from pyspark.sql import functions as F
+
+    from rinkline.llm.textstats import language, learned_words
+
+    df = spark.createDataFrame([(f"der kat{k} og hun{k}", "nb") for k in range(5)] + [("the cat", "en"), (None, "nb")], "t string, l string")
+    words = learned_words(df, F.col("t"), language(F.col("l")))
+    assert {"der", "og"} <= words and "the" not in words
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
+def test_the_half_of_the_labels_never_looked_at(spark):
+    from pyspark.sql import functions as F
+
+    base = Path("/root/testdata/sf0.1")
+    docs, labels = (spark.read.parquet(str(base / f"{n}.parquet")) for n in ("documents", "doc_labels"))
+    found = text_quality(docs).where(F.array_contains("tails", "running_share")).select("doc_id", F.lit(True).alias("found"))
+    held = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).join(found, "doc_id", "left").select((F.col("label") != "prose").alias("want"), F.coalesce("found", F.lit(False)).alias("found")).collect()
+    hits = sum(r.want and r.found for r in held)
+    assert hits >= 0.9 * sum(r.want for r in held) and hits >= 0.9 * sum(r.found for r in held)
