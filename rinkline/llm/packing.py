@@ -109,10 +109,26 @@ def pieces_of(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", F.coalesce("source", F.lit("")).alias("source"), F.least(F.col("all") - F.col("piece").cast("long") * capacity, F.lit(capacity).cast("long")).alias("tokens"))
 
 
+def sums_before(rows: DataFrame, by: str | None, block: int = 1024) -> DataFrame:
+    """``rows(shard, t, [by])`` with ``before``: the sum of ``t`` over all smaller shards (of the same ``by``), in two levels:
+    over whole blocks of shards, then inside a block, so that no task holds more than one block or the blocks' sums."""
+    key = [by] if by else []
+    blocked = rows.withColumn("block", F.floor(F.col("shard") / block))
+    earlier = lambda *p: Window.partitionBy(*p).rowsBetween(Window.unboundedPreceding, -1)
+    per_block = blocked.groupBy(*key, "block").agg(F.sum("t").alias("s"))
+    upper = per_block.withColumn("group", F.floor(F.col("block") / block)).groupBy(*key, "group").agg(F.sort_array(F.collect_list(F.struct("block", "s"))).alias("blocks"), F.sum("s").alias("s"))
+    tops = Window.partitionBy(*(key or [F.lit(0)])).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block * block shards
+    upper = upper.select(*key, "blocks", F.coalesce(F.sum("s").over(tops), F.lit(0)).alias("base")).select(*key, "blocks", "base", F.posexplode("blocks").alias("i", "b"))
+    starts = upper.select(*key, F.col("b.block").alias("block"), (F.col("base") + F.aggregate(F.slice("blocks", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["s"])).alias("start"))
+    inside = blocked.withColumn("inner", F.coalesce(F.sum("t").over(earlier(*key, "block").orderBy("shard")), F.lit(0)))
+    return inside.join(starts, [*key, "block"]).withColumn("before", F.col("start") + F.col("inner")).drop("block", "inner", "start")
+
+
 def pack(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
     """``(container_kind, shard, container_no, window_no, doc_id, piece, source, tokens)``: every document in containers of one kind.
 
-    ``sizes`` has ``(doc_id, source, tokens)``; target shares are the sources' shares of all tokens. Shards are cut by a
+    ``sizes`` has ``(doc_id, source, tokens)``; target shares are the sources' shares of all tokens, the only ones that a
+    packing of every document can hold throughout. Shards are cut by a
     hash of the document and their number follows the total, so a task packs about ``SHARD_TOKENS`` tokens whatever
     the input; a source that holds a third of all documents is spread like any other. Only the total and
     the sources' totals (sent as a table, joined to shards) are gathered.
@@ -122,13 +138,13 @@ def pack(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
     """
     total = sizes.agg(F.sum(F.greatest(F.col("tokens"), F.lit(1)))).first()[0] or 0
     shards = max(1, round(total / SHARD_TOKENS))
-    pieces = pieces_of(sizes, capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(kind)), F.lit(shards)).cast("long"))
+    run_of_pieces = F.floor(F.col("piece") / max(1, SHARD_TOKENS // (4 * capacity)))  # a giant document's pieces go to many shards
+    pieces = pieces_of(sizes, capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", run_of_pieces, F.lit(kind)), F.lit(shards)).cast("long"))
     by_source = staged(pieces.groupBy("shard", "source").agg(F.sum("tokens").alias("t")), "p8-shards")
-    sources = by_source.groupBy("source").agg(F.sum("t").alias("s")).select("source", (F.col("s") / F.greatest(F.lit(1), F.sum("s").over(Window.partitionBy(F.lit(0))))).alias("share"))
-    earlier = Window.unboundedPreceding, -1
-    totals = by_source.groupBy("shard").agg(F.sum("t").alias("t")).select("shard", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(*earlier)), F.lit(0)).alias("so_far"))
-    held = by_source.select("shard", "source", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("shard").rowsBetween(*earlier)), F.lit(0)).alias("had"))
-    owed = held.join(totals, "shard").join(sources, "source").select("shard", "source", "share", (F.col("share") * F.col("so_far") - F.col("had")).alias("owed"))
+    whole = by_source.agg(F.sum("t")).first()[0] or 1
+    sources = by_source.groupBy("source").agg((F.sum("t") / whole).alias("share"))
+    owed = sums_before(by_source, "source").join(sums_before(by_source.groupBy("shard").agg(F.sum("t").alias("t")), None).select("shard", F.col("before").alias("so_far")), "shard").join(sources, "source")
+    owed = owed.select("shard", "source", "share", (F.col("share") * F.col("so_far") - F.col("before")).alias("owed"))
 
     def run(key: tuple, mine: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
         mine = mine.sort_values(["source", "doc_id", "piece"])

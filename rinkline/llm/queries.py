@@ -9,7 +9,7 @@ from rinkline.llm.encoding import damaged_rows
 from rinkline.llm.formatdup import Field, collapse_formats, format_copies
 from rinkline.llm.namelinks import link_variants, linked_pairs, short_given_names, typed_names
 from rinkline.llm.nearsets import near_classes, near_pairs
-from rinkline.llm.mixing import draws, memberships, fit_classifier, reached_shares, soft_cells
+from rinkline.llm.mixing import draws, fit_classifier, reached_shares, sized_members
 from rinkline.llm.packing import fill_report, pack
 from rinkline.llm.textstats import text_quality, text_statistics
 from rinkline.llm.tokens import sized
@@ -87,7 +87,7 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    kinds = table(spark, sf_dir, "container_specs").limit(1000).collect()  # a fixed table of a few rows
+    kinds = table(spark, sf_dir, "container_specs").collect()  # a fixed table of three rows
     out = [pack(sizes, r["container_kind"], r["capacity_tokens"]) for r in kinds]
     for x in out[1:]:
         out[0] = out[0].unionByName(x)
@@ -104,30 +104,29 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
-    sizes = sized(docs, "doc_id", "text", "source")
-    cells, names = soft_cells(docs.select("doc_id", "source", "text"), docs.select("doc_id", "source", "text"))
-    return draws(sizes, targets, cells, names), sizes, targets
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    model = fit_classifier(docs)
+    return sized_members(docs, model), model.names
 
 
 def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix and how often each is repeated."""
-    return _drawn(spark, sf_dir)[0]
+    docs, names = _members(spark, sf_dir)
+    return draws(docs, table(spark, sf_dir, "mix_targets"), names)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of all tokens each source reaches in each mix."""
-    return reached_shares(*_drawn(spark, sf_dir))
+    """The share of all tokens each source reaches in each mix, by written source and by membership."""
+    (docs, names), targets = _members(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return reached_shares(draws(docs, targets, names), docs, targets, names)
 
 
 def p9_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean predicted membership of the documents of each source, as the classifier sees it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    model = fit_classifier(docs)
-    names = F.array(*map(F.lit, model[0]))
-    pairs = memberships(docs, model).join(docs.select("doc_id", "source"), "doc_id").select("source", F.posexplode("posteriors").alias("k", "p"))
-    return pairs.groupBy("source", F.get(names, F.col("k")).alias("predicted")).agg(F.round(F.avg("p"), 4).alias("mean_membership"))
+    docs, names = _members(spark, sf_dir)
+    pairs = docs.select("source", F.posexplode("member").alias("k", "p"))
+    return pairs.groupBy("source", F.get(F.array(*map(F.lit, names)), F.col("k")).alias("predicted")).agg(F.round(F.avg("p"), 4).alias("mean_membership"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rinkline.llm import tokens
-from rinkline.llm.mixing import draws, fit_classifier, fit_rates, memberships, reached_shares, soft_cells
+from rinkline.llm.mixing import draws, fit_classifier, reached_shares, sized_members
 from rinkline.llm.packing import fill_report, fill_shard, pack
 
 
@@ -59,30 +59,40 @@ def test_pack(spark):
     assert pack(sizes(spark, []), "small", 512).count() == 0
 
 
-def test_rates_meet_shares():
-    member = np.eye(3)
-    r = fit_rates(member, np.array([1000.0, 100.0, 10.0]), np.array([2.0, 4.0, 4.0]), np.array([0.5, 0.3, 0.2]))
-    got = r * np.array([1000, 100, 10])
-    assert np.allclose(got / got.sum(), [0.5, 0.3, 0.2], atol=1e-4) and (r <= [2.0001, 4.0001, 4.0001]).all()
-    soft = np.array([[1, 0], [0.5, 0.5], [0, 1.0]])
-    r = fit_rates(soft, np.array([100.0, 100.0, 100.0]), np.array([2.0, 2, 2]), np.array([0.7, 0.3]))
-    got = soft.T @ (r * 100)
-    assert np.allclose(got / got.sum(), [0.7, 0.3], atol=1e-3) and (r >= 0).all()
+TARGETS = [("m", "a", 0.5, 2), ("m", "b", 0.5, 4), ("n", "a", 0.9, 1), ("n", "zz", 0.1, 1)]
 
 
-TARGETS = [("m", "a", 0.5, 2), ("m", "b", 0.5, 4), ("n", "a", 0.9, 1), ("n", "zz", 0.1, 1)]
+def members(spark, rows):
+    """Rows of (doc_id, source, tokens, memberships of a and b)."""
+    return spark.createDataFrame(rows, "doc_id long, source string, tokens long, member array<float>")
 
 
 def test_mix(spark):
     rng = random.Random(3)
-    rows = [(k, "a" if k % 4 else "b", rng.randrange(1, 400)) for k in range(6000)]
-    s, t = sizes(spark, [*rows, (10_000, "c", 5), (10_001, None, 5)]), spark.createDataFrame(TARGETS, "mix_name string, source string, target_share double, max_repeats int")
-    d = draws(s, t)
-    got = {(r.mix_name, r.source): r for r in reached_shares(d, s, t).collect()}
-    assert abs(got[("m", "a")].reached_share - 0.5) < 0.005 and got[("n", "zz")].tokens == 0
-    assert all(r.repeats <= (4 if r.source == "b" else 2) for r in d.collect())
-    assert {r.source for r in d.collect()} == {"a", "b"}
-    assert draws(s.limit(0), t).count() == 0 and draws(s, t.limit(0)).count() == 0
+    one_hot = {"a": [1.0, 0.0], "b": [0.0, 1.0]}
+    rows = [(k, s, rng.randrange(1, 400), one_hot[s]) for k in range(6000) for s in ["a" if k % 4 else "b"]]
+    d, t = members(spark, [*rows, (10_000, "c", 5, [0.5, 0.5]), (10_001, None, 5, [0.1, 0.1])]), spark.createDataFrame(TARGETS, "mix_name string, source string, target_share double, max_repeats int")
+    drawn = draws(d, t, ["a", "b"])
+    got = {(r.mix_name, r.source): r for r in reached_shares(drawn, d, t, ["a", "b"]).collect()}
+    assert abs(got[("m", "a")].reached_share - 0.5) < 0.005 and abs(got[("m", "a")].expected_share - 0.5) < 0.005 and got[("n", "zz")].tokens == 0
+    assert all(r.repeats <= (4 if r.source == "b" else 2) for r in drawn.collect())
+    assert {r.source for r in drawn.collect()} == {"a", "b"}
+    assert draws(d.limit(0), t, ["a", "b"]).count() == 0 and draws(d, t.limit(0), ["a", "b"]).count() == 0
+
+
+def test_rates_move_expected_totals_towards_the_targets(spark, monkeypatch):
+    from rinkline.llm import mixing
+
+    monkeypatch.setattr(mixing, "SOFT", 1.0)
+    rows = [(k, None, 100, [k % 11 / 10, 1 - k % 11 / 10]) for k in range(2200)]  # memberships only, half and half in all
+    d, t = members(spark, [*rows, (9000, "a", 100_000, [1.0, 0.0]), (9001, "b", 100_000, [0.0, 1.0])]), spark.createDataFrame([("m", "a", 0.7, 1), ("m", "b", 0.3, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    mixes = mixing.fit_rates(d, mixing.mixes_of(d, t, ["a", "b"]), 30)
+    first, last = (np.abs(mixes[0].past[i][2:]).sum() for i in (0, -1))
+    assert last < 0.6 * first
+    pdf = d.toPandas()
+    at, p, cap = mixes[0].inside(pdf["source"], np.stack(pdf["member"].to_numpy()).astype(float))
+    rate = mixes[0].rates(at, p, cap)[0]
+    assert (rate >= 0).all() and (rate <= 1).all()
 
 
 def test_membership_of_unlabelled_documents(spark):
@@ -92,13 +102,14 @@ def test_membership_of_unlabelled_documents(spark):
     text = lambda s: " ".join(rng.choice(words[s] + common) for _ in range(40))
     docs = [(k, "ab"[k % 2], text("ab"[k % 2])) for k in range(400)]
     df = spark.createDataFrame([(i, s if i < 300 else None, t) for i, s, t in docs] + [(900, None, None), (901, None, "")], "doc_id long, source string, text string")
-    names, _, _ = model = fit_classifier(df)
-    got = {r.doc_id: names[int(np.argmax(r.posteriors))] for r in memberships(df.where("source is null"), model).collect()}
+    model = fit_classifier(df)
+    got = {i: model.names[int(np.argmax(model.posteriors(t)))] for i, s, t in docs if i >= 300}
     assert sum(got[i] == s for i, s, _ in docs if i >= 300) >= 95
-    cells, order = soft_cells(df, df)
-    s = df.selectExpr("doc_id", "source", "cast(length(coalesce(text, '')) as long) tokens")
+    assert fit_classifier(df.limit(0)).names == []
+    member = {r.doc_id: r for r in sized_members(df, model).collect()}
+    assert len(member) == 402 and member[900].tokens == 0 and abs(sum(member[900].member) - 1) < 1e-6
     t = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
-    assert {r.doc_id for r in draws(s, t, cells, order).collect()} & set(range(300, 400))
+    assert {r.doc_id for r in draws(sized_members(df, model), t, model.names).collect()} & set(range(300, 400))
 
 
 @pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary file")
@@ -108,3 +119,13 @@ def test_token_counts(spark):
     enc = tokens.encoder(tokens.VOCABULARY)
     assert got == {1: 2, 2: 0, 3: 0, 4: len(enc.encode_ordinary("Hej på dig " * 20_000)), 5: len(enc.encode_ordinary("<|endoftext|>"))}
     assert enc.decode(enc.encode_ordinary("Åke, 12 mål")) == "Åke, 12 mål"
+
+
+def test_sums_before_in_two_levels(spark):
+    from rinkline.llm.packing import sums_before
+
+    rng = random.Random(8)
+    rows = [(k, s, rng.randrange(100)) for k in range(100) for s in "ab" if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "shard long, source string, t long")
+    got = {(r.shard, r.source): r.before for r in sums_before(df, "source", 4).collect()}
+    assert got == {(k, s): sum(t for j, z, t in rows if z == s and j < k) for k, s, _ in rows}
