@@ -31,6 +31,16 @@ def ascii_key(c: Column) -> Column:
     return F.coalesce(F.nullif(bag, F.lit("")), F.lower(c), F.lit(""))
 
 
+#: Letters beyond ASCII that names of the domain are typed with.
+NAME_LETTERS = "åäöéüøæëèáíóúçñÅÄÖÉÜØÆ"
+
+
+def typed_key(c: Column) -> Column:
+    """The writing key of a name whose letters can be told: null where some are damaged, lost or unusual."""
+    rest = F.translate(c, NAME_LETTERS, "")
+    return F.when((F.octet_length(rest) == F.length(rest)) & ~c.contains("?"), writing_key(c))
+
+
 def trimmed_lower(c: Column) -> Column:
     """Without regard to case and outer whitespace of any kind."""
     return F.lower(F.regexp_replace(c, rf"^[\s{BLANKS}]+|[\s{BLANKS}]+$", ""))

@@ -6,42 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinkline.functions.textkeys import exact_state
+from rinkline.operators.staging_area import staged
 
 
-def snapshot_changes(df: DataFrame, group: str, load: str, row_id: str, entity: list[Column], compare: list[str], range_bits: int = 4, hot_rows: int = 1_000_000) -> DataFrame:
-    """Typed changes between each snapshot and the next: ``(group, load, change, old_row_id, new_row_id, old_state, new_state)``.
+SMALL_LOADS = 1_000_000  # loads up to which their table is sent to every task
 
-    A snapshot is all rows of one ``group`` with one value of ``load``. Rows are keyed by a 64-bit hash of the
-    ``entity`` columns inside their group, partitioned by group and range of that key (``2**range_bits`` ranges, so a
-    group holding a third of all rows is spread over as many tasks) and sorted by key and load. Snapshots of one range
-    then lie interleaved in key order, and one pass that looks at neighbours merges each with the next, as two pointers
-    would: a key that the next snapshot lacks is ``removed``, one that the former lacks ``added``, one in both whose
-    compared columns differ ``changed``. Each range also gets one marker row per load of its group, which says which
-    load follows which even where the range has no row of it. One shuffle.
-
-    Defined results: a record stored more than once in a snapshot counts once, under its smallest ``row_id``; null is a
-    value like any other in ``group``, ``entity`` and ``compare``; rows with null ``load`` are in no snapshot and are
-    left out; nothing is listed for the first snapshot of a group; an empty table gives no rows. Extra columns are
-    ignored, whatever their names.
-    """
-    h = F.xxhash64(*entity)
-    bits = F.shiftrightunsigned("h", 64 - range_bits).cast("int") if range_bits else F.lit(0)
-    rows = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t"), h.alias("h"), F.col(row_id).cast("long").alias("id"), exact_state(*compare).alias("state"))
-    most, mean = rows.groupBy(F.pmod(F.xxhash64("g", "h"), F.lit(4096))).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.avg("n")).first()
-    if most and most > max(hot_rows, 4 * mean):
-        rows = rows.groupBy("g", "t", "h").agg(F.min(F.struct("id", "state")).alias("x")).select("g", "t", "h", "x.id", "x.state")
+
+def numbered_loads(df: DataFrame, group: str, load: str) -> DataFrame:
+    """``(g, t, k, last)``: the loads of each group in order, written once; sent to every task if they are few enough."""
+    seen = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t")).distinct()
     by_group = Window.partitionBy("g").orderBy("t")
-    loads = df.where(F.col(load).isNotNull()).select(F.col(group).alias("g"), F.col(load).alias("t")).distinct()
-    loads = loads.select("g", "t", F.row_number().over(by_group).alias("k"), F.lead("t").over(by_group).isNull().alias("last"))
-    marks = loads.select("g", F.explode(F.sequence(F.lit(0), F.lit(2**range_bits - 1))).alias("r"), "t", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("state"), "k", "last")
-    rows = rows.select("g", bits.alias("r"), "t", "h", "id", "state", F.lit(None).cast("int").alias("k"), F.lit(None).cast("boolean").alias("last"))
+    loads = staged(seen.select("g", "t", F.row_number().over(by_group).alias("k"), F.lead("t").over(by_group).isNull().alias("last")), "p2-loads")
+    return F.broadcast(loads) if loads.count() <= SMALL_LOADS else loads
+
+
+def told_apart(spelled: Column, *scope: str) -> Column:
+    """What tells apart the entities of one scope that share their ASCII letters: '' where all typed spellings agree; else
+    the spelling, or, where it cannot be told, null."""
+    of = Window.partitionBy(*scope)
+    one = F.coalesce(F.min(spelled).over(of) == F.max(spelled).over(of), F.lit(True))
+    return F.when(one, F.lit("")).otherwise(spelled)
+
 
-    in_order = Window.partitionBy("g", "r").orderBy("t", F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marks.unionByName(rows).select("g", "r", "t", "h", "id", "state", F.last("k", True).over(in_order).alias("k"), F.last("last", True).over(in_order).alias("last")).where("id is not null")
+def snapshot_changes(df: DataFrame, group: str, load: str, row_id: str, entity: list[Column], compare: list[str], spelled: Column | None = None) -> DataFrame:
+    """Typed changes between each snapshot and the next: ``(group, load, change, old_row_id, new_row_id, old_state, new_state)``.
+
+    A snapshot is all rows of one ``group`` with one value of ``load``. Copies of a record are combined map-side, so one
+    that holds a third of all rows is one row per task; then rows are range-partitioned by group and ``entity`` (bounds
+    from a sample, so a group that holds a third of all rows is spread over as many ranges) and sorted by entity and load.
+    Snapshots of one range then lie interleaved in key order, and one pass that looks at neighbours merges each with the
+    next, as two pointers would: a key that the next snapshot lacks is ``removed``, one that the former lacks ``added``,
+    one in both whose compared columns differ ``changed``.
+
+    ``entity`` are columns that are equal for all stored forms of an entity's name (and perhaps for other entities');
+    ``spelled`` is the name as typed where that can be told, else null: entities of one group with equal ``entity`` but
+    different spellings are different, and a form that cannot be told is then an entity of its own.
+
+    Defined results: a record stored more than once in a snapshot counts once, under its smallest ``row_id`` (null ones
+    first); null is a value like any other in ``group``, ``entity`` and ``compare``; rows with null ``load`` are in no
+    snapshot and are left out; nothing is listed for the first snapshot of a group; an empty table gives no rows. Extra
+    columns are ignored, whatever their names.
+    """
+    keys = [f"e{i}" for i in range(len(entity))]
+    rows = df.where(F.col(load).isNotNull()).select(F.col(group).alias("rg"), F.col(load).alias("rt"), *[e.alias(k) for e, k in zip(entity, keys, strict=True)], (F.lit("") if spelled is None else spelled).alias("s"), F.col(row_id).cast("long").alias("id"), exact_state(*compare).alias("state"))
+    placed = rows.join(numbered_loads(df, group, load), F.col("rg").eqNullSafe(F.col("g")) & (F.col("rt") == F.col("t"))).select("g", *keys, "s", "k", "last", "id", "state")
+    single = placed.groupBy("g", *keys, "s", "k", "last").agg(F.min(F.struct("id", "state")).alias("x")).select("g", *keys, "s", "k", "last", "x.id", "x.state")
+    ranged = single.repartitionByRange("g", *keys)
+    ranged = ranged.withColumn("s", told_apart(F.col("s"), "g", *keys))
 
-    entity_order = Window.partitionBy("g", "r", "h").orderBy("k", "id")
-    single = numbered.withColumn("copy", F.coalesce(F.lag("k").over(entity_order) == F.col("k"), F.lit(False))).where("not copy")
-    near = single.select("*", *[F.lag(c).over(entity_order).alias(f"p_{c}") for c in ("k", "id", "state")], F.lead("k").over(entity_order).alias("n_k"))
+    in_order = Window.partitionBy("g", *keys, "s").orderBy("k", "id")
+    once = ranged.withColumn("copy", F.coalesce(F.lag("k").over(in_order) == F.col("k"), F.lit(False))).where("not copy")
+    near = once.select("*", *[F.lag(c).over(in_order).alias(f"p_{c}") for c in ("k", "id", "state")], F.lead("k").over(in_order).alias("n_k"))
     none = F.lit(0).cast("long")
 
     def change(kind: str, when: Column, old: Column, new: Column, at: Column, old_state: Column, new_state: Column) -> Column:

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rinkline.operators.changes import told_apart
+from rinkline.operators.staging_area import staged
 
-def holding_rows(df: DataFrame, entity: list[Column], at: Column, row_id: Column, attributes: dict[str, Column], latest: Column | None = None) -> DataFrame:
+
+def holding_rows(df: DataFrame, entity: list[Column], at: Column, row_id: Column, attributes: dict[str, Column], latest: Column | None = None, spelled: Column | None = None) -> DataFrame:
     """The row that holds for each entity and time: ``(entity, at, id, attributes)``.
 
     ``latest`` ranks rows of one time, the greatest holding; ties, and rows where it is null, fall to the smallest id.
     Entities are a struct. An aggregate with map-side combine, so repeated notices of one hot entity and time meet
-    before the shuffle; what is left of an entity is one row per time.
+    before the shuffle; what is left of an entity is one row per time. ``spelled`` as in ``snapshot_changes``.
     """
     rank = F.lit(0).cast("long") if latest is None else -F.coalesce(F.unix_micros(latest.cast("timestamp")), F.lit(-(2**62)))
     cells = F.struct(rank.alias("_order"), row_id.alias("id"), *[c.alias(n) for n, c in attributes.items()])
-    picked = df.select(F.struct(*[c.alias(f"e{i}") for i, c in enumerate(entity)]).alias("entity"), at.alias("at"), cells.alias("cell")).where("at is not null")
-    return picked.groupBy("entity", "at").agg(F.min("cell").alias("cell")).select("entity", "at", "cell.id", *[f"cell.{n}" for n in attributes])
+    picked = df.select(F.struct(*[c.alias(f"e{i}") for i, c in enumerate(entity)]).alias("entity"), (F.lit("") if spelled is None else spelled).alias("s"), at.alias("at"), cells.alias("cell")).where("at is not null")
+    held = picked.groupBy("entity", "s", "at").agg(F.min("cell").alias("cell"))
+    if spelled is not None:
+        apart = held.withColumn("s", told_apart(F.col("s"), "entity")).select(F.struct("entity.*", "s").alias("entity"), "at", "cell")
+        held = apart.groupBy("entity", "at").agg(F.min("cell").alias("cell"))
+    return held.select("entity", "at", "cell.id", *[f"cell.{n}" for n in attributes])
 
 
 def store_deltas(held: DataFrame, attributes: list[str], every: int = 8) -> DataFrame:
@@ -52,12 +59,21 @@ def fold_versions(stored: DataFrame, attributes: list[str]) -> DataFrame:
     return values.select("entity", "version", "id", F.col("at").alias("valid_from"), F.lead("at").over(w).alias("valid_to"), F.lead("id").over(w).alias("closed_by"), *attributes)
 
 
-def attribute_history(df: DataFrame, entity: list[Column], at: Column, row_id: Column, attributes: dict[str, Column], latest: Column | None = None, every: int = 8) -> DataFrame:
-    """Every version of every entity with the period in which it was valid, by way of the stored form.
+def attribute_history(df: DataFrame, entity: list[Column], at: Column, row_id: Column, attributes: dict[str, Column], latest: Column | None = None, every: int = 8, spelled: Column | None = None) -> DataFrame:
+    """Every version of every entity with the period in which it was valid. The stored form is written first, under the
+    staging folder, and the validity rows are folded from what is read back.
 
     Defined results: rows with null time are left out; null attributes are values (filter them first if they are to be
     ignored); equal values at consecutive times are one version; ids and values come out as strings; an empty table
     gives no rows; other columns are ignored.
     """
     names = list(attributes)
-    return fold_versions(store_deltas(holding_rows(df, entity, at, row_id.cast("string") if latest is not None else row_id, attributes, latest), names, every), names)
+    held = holding_rows(df, entity, at, row_id.cast("string") if latest is not None else row_id, attributes, latest, spelled)
+    return fold_versions(staged(store_deltas(held, names, every), "p6-deltas"), names)
+
+
+def versions_of(history: DataFrame, attribute: str) -> DataFrame:
+    """The versions of one attribute out of a history of several: ``(entity, id, valid_from, valid_to, closed_by, attribute)``."""
+    w = Window.partitionBy("entity").orderBy("version")
+    opened = history.withColumns({"was": F.lag(attribute).over(w), "n": F.row_number().over(w)}).where((F.col("n") == 1) | ~F.col("was").eqNullSafe(F.col(attribute)))
+    return opened.select("entity", "id", "valid_from", F.lead("valid_from").over(w).alias("valid_to"), F.lead("id").over(w).alias("closed_by"), attribute)

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkline.functions.textkeys import ascii_key, trimmed_lower
+from rinkline.functions.textkeys import ascii_key, trimmed_lower, typed_key
 from rinkline.operators.changes import changed_columns, snapshot_changes
-from rinkline.operators.history import attribute_history
+from rinkline.operators.history import attribute_history, versions_of
 from rinkline.operators.profile import LONG_MASK, Watch, column_profile, column_ranges
 from rinkline.sources.tables import table
 
@@ -22,12 +22,12 @@ RUN_STATUSES = ("RUNNING", "SUCCESS", "FAILED", "FAILED_QUALITY")
 
 def player_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "swehockey_player_stats")
-    return snapshot_changes(df, "season_group_id", "scraped_at", "row_id", [F.coalesce("team_id", F.lit("")), ascii_key(F.col("player_name"))], PLAYER_STATE)
+    return snapshot_changes(df, "season_group_id", "scraped_at", "row_id", [F.coalesce("team_id", F.lit("")), ascii_key(F.col("player_name"))], PLAYER_STATE, typed_key(F.col("player_name")))
 
 
 def team_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "swehockey_standings")
-    return snapshot_changes(df, "season_group_id", "scraped_at", "row_id", [ascii_key(F.col("team_name"))], TEAM_STATE, range_bits=1)
+    return snapshot_changes(df, "season_group_id", "scraped_at", "row_id", [ascii_key(F.col("team_name"))], TEAM_STATE, typed_key(F.col("team_name")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,26 +117,31 @@ def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, map(part, LOADS))
 
 
-def roster_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+ROSTER_STATE = ["status", "is_available", "is_loaned", "is_injured", "is_junior", "is_import", "depth_role", "line_role"]
+
+
+def roster_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "roster_status_events").where("status is not null")
-    return attribute_history(df, [F.col("player_id"), F.col("season_id")], F.col("status_date"), F.col("roster_status_id"), {"status": trimmed_lower(F.col("status"))}, F.col("updated_at"))
+    read = {c: trimmed_lower(F.col(c)) if c == "status" else F.col(c).cast("string") for c in ROSTER_STATE}
+    return attribute_history(df, [F.col("player_id"), F.col("season_id")], F.col("status_date"), F.col("roster_status_id"), read, F.col("updated_at"))
 
 
-def rank_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rank_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "swehockey_standings").where("rank is not null")
-    return attribute_history(df, [F.col("season_group_id"), ascii_key(F.col("team_name"))], F.col("scraped_at"), F.col("row_id"), {"rank": F.col("rank")})
+    return attribute_history(df, [F.col("season_group_id"), ascii_key(F.col("team_name"))], F.col("scraped_at"), F.col("row_id"), {c: F.col(c) for c in ("rank", "points")}, spelled=typed_key(F.col("team_name")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of roster status and of rank with the rows that open and close them."""
-    parts = [("roster", roster_versions), ("rank", rank_versions)]
-    a, b = (f(spark, sf_dir).select(F.lit(n).alias("kind"), F.col("id").cast("string").alias("opened_by"), F.coalesce(F.col("closed_by").cast("string"), F.lit("")).alias("closed_by")) for n, f in parts)
+    parts = [("roster", versions_of(roster_history(spark, sf_dir), "status")), ("rank", versions_of(rank_history(spark, sf_dir), "rank"))]
+    a, b = (df.select(F.lit(n).alias("kind"), F.col("id").cast("string").alias("opened_by"), F.coalesce(F.col("closed_by").cast("string"), F.lit("")).alias("closed_by")) for n, df in parts)
     return a.unionByName(b)
 
 
 def p6_roster_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The period in which each player's roster status was valid."""
-    return roster_versions(spark, sf_dir).select(F.col("entity.e0").alias("player_id"), F.col("entity.e1").alias("season_id"), "status", "valid_from", "valid_to")
+    """The periods in which each player's roster status and roles were valid, one row for each change of any of them."""
+    h = roster_history(spark, sf_dir)
+    return h.select(F.col("entity.e0").alias("player_id"), F.col("entity.e1").alias("season_id"), *ROSTER_STATE, "valid_from", "valid_to")
 
 
 _KEY = r"coalesce(nullif(ltrim(array_to_string(list_sort(string_split_regex(lower({c}), '[^a-z0-9]+')), ' ')), ''), lower({c}), '')"
@@ -208,6 +213,7 @@ def _versions_sql(kind: str, held: str) -> str:
 
 
 _ROSTER = r"select (player_id, season_id) e, status_date t, roster_status_id id, regexp_replace(lower(status), '^[\s\x{a0}\x{2009}]+|[\s\x{a0}\x{2009}]+$', '', 'g') v from roster_status_events where status is not null and status_date is not null qualify row_number() over (partition by player_id, season_id, status_date order by updated_at desc nulls last, roster_status_id) = 1"
+_ROSTER_STATE = "select player_id, season_id, status_date t, " + ", ".join(r"regexp_replace(lower(status), '^[\s\x{a0}\x{2009}]+|[\s\x{a0}\x{2009}]+$', '', 'g') status" if c == "status" else f"cast({c} as varchar) {c}" for c in ROSTER_STATE) + " from roster_status_events where status is not null and status_date is not null qualify row_number() over (partition by player_id, season_id, status_date order by updated_at desc nulls last, roster_status_id) = 1"
 _RANK = f"select (season_group_id, {_KEY.format(c='team_name')}) e, scraped_at t, cast(row_id as varchar) id, rank v from swehockey_standings where rank is not null and scraped_at is not null qualify row_number() over (partition by season_group_id, {_KEY.format(c='team_name')}, scraped_at order by row_id) = 1"
 _TEAM_CHANGES = _changes_sql("swehockey_standings", _KEY.format(c="team_name"), TEAM_STATE)
 _PLAYER_CHANGES = _changes_sql("swehockey_player_stats", f"(coalesce(team_id, ''), {_KEY.format(c='player_name')})", PLAYER_STATE)
@@ -218,7 +224,7 @@ SQL = {
     "p2_found": f"select 'swehockey_player_stats' table_name, change, old_row_id, new_row_id from {_PLAYER_CHANGES} union all select 'swehockey_standings', change, old_row_id, new_row_id from {_TEAM_CHANGES}",
     "p4_found": _findings_sql("ingestion_runs", "status", "started_at", "finished_at is not null", "coalesce(status = 'SUCCESS', false)", "status not in ('RUNNING', 'SUCCESS', 'FAILED', 'FAILED_QUALITY')") + " union all " + _findings_sql("data_quality_runs", "passed", "checked_at", "passed is not null", "passed", "false"),
     "p6_found": _versions_sql("roster", _ROSTER) + " union all " + _versions_sql("rank", _RANK),
-    "p6_roster_periods": f"select e[1] player_id, e[2] season_id, v status, t valid_from, lead(t) over (partition by e order by t) valid_to from (select * from (select *, lag(v) over (partition by e order by t) was, row_number() over (partition by e order by t) n from ({_ROSTER})) where n = 1 or v is distinct from was)",
+    "p6_roster_periods": f"select player_id, season_id, {', '.join(ROSTER_STATE)}, t valid_from, lead(t) over (partition by player_id, season_id order by t) valid_to from (select * from (select *, row_number() over w n, lag(x) over w was from (select *, ({', '.join(ROSTER_STATE)}) x from ({_ROSTER_STATE})) window w as (partition by player_id, season_id order by t)) where n = 1 or x is distinct from was)",
 }
 SQL["p4_profile"] = " union all ".join(_profile_sql(n, spec) for n, spec in LOADS.items())
 SQL["p2_changed_columns"] = "select season_group_id, load_no, column_name, count(*) n_changed from (" + " union all ".join(

@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rinkline.functions.textkeys import ascii_key
+from rinkline.functions.textkeys import ascii_key, typed_key
+from rinkline.operators import changes
 from rinkline.operators.changes import changed_columns, snapshot_changes
 
 T = [datetime(2024, 1, 1) + timedelta(days=k) for k in range(4)]
@@ -39,16 +40,17 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("bits", [0, 1, 4])
-def test_same_as_plain(spark, bits):
-    got = run(spark, ROWS, range_bits=bits)
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_same_as_plain(spark, few, monkeypatch):
+    monkeypatch.setattr(changes, "SMALL_LOADS", few)
+    got = run(spark, ROWS)
     assert {(r.change, r.old_row_id, r.new_row_id) for r in got.collect()} == plain(ROWS)
     assert got.count() == len(plain(ROWS))
 
 
 def test_hot_record(spark):
     rows = ROWS + [(k, 2, "Ann", T[0], 1, "x") for k in range(100, 400)]
-    assert {(r.change, r.old_row_id, r.new_row_id) for r in run(spark, rows, hot_rows=50).collect()} == plain(rows)
+    assert {(r.change, r.old_row_id, r.new_row_id) for r in run(spark, rows).collect()} == plain(rows)
 
 
 def test_names_in_other_writing_and_decoding(spark):
@@ -56,6 +58,17 @@ def test_names_in_other_writing_and_decoding(spark):
     assert [(r.change, r.old_row_id, r.new_row_id) for r in run(spark, rows).collect()] == [("changed", 2, 3)]
 
 
+def test_two_people_with_the_same_ascii_letters(spark):
+    rows = [(k, 1, n, T[t], v, "x") for k, n, t, v in [(1, "Erik Åberg", 0, 1), (2, "Erik Öberg", 0, 7), (3, "ÅBERG Erik", 1, 1), (4, "Erik Öberg", 1, 9)]]
+    got = run(spark, rows, spelled=typed_key(F.col("name"))).collect()
+    assert [(r.change, r.old_row_id, r.new_row_id) for r in got] == [("changed", 2, 4)]
+
+
+def test_rows_without_id(spark):
+    got = run(spark, [(None, 1, "Ann", T[0], 1, "x"), (2, 1, "Ann", T[1], 2, "x")]).collect()
+    assert [(r.change, r.old_row_id, r.new_row_id) for r in got] == [("changed", None, 2)]
+
+
 def test_columns_and_empty(spark):
     got = changed_columns(run(spark, ROWS), ["a", "b"])
     assert {(r.new_row_id, tuple(r.columns)) for r in got.where("change = 'changed'").collect()} == {(6, ("a",)), (9, ("a",)), (11, ("a",))}

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rinkline.operators.history import attribute_history, fold_versions, holding_rows, store_deltas
+from rinkline.operators.history import attribute_history, fold_versions, holding_rows, store_deltas, versions_of
 
 SCHEMA = "id string, p string, d date, s string, x long, u timestamp, entity string"
 
@@ -57,3 +57,19 @@ def test_empty_and_null_entity(spark):
     got = attribute_history(frame(spark, [("a", None, date(2024, 1, 1), "x" * 100_000, 1, None), ("b", None, date(2024, 1, 2), "", 1, None)]), *args).collect()
     assert len(got) == 2
     assert fold_versions(store_deltas(holding_rows(frame(spark, []), *args), ["s"]), ["s"]).count() == 0
+
+
+def test_one_attribute_of_several(spark):
+    rows = [("a", "s1", date(2024, 1, d), s, x, None) for d, s, x in [(1, "in", 1), (2, "in", 2), (3, "out", 2), (4, "out", 3), (5, "in", 3)]]
+    df = spark.createDataFrame([(*r[:2], r[2], r[3], r[4]) for r in rows], "p string, q string, d date, s string, x long")
+    h = attribute_history(df, [F.col("p")], F.col("d"), F.date_format("d", "dd"), {"s": F.col("s"), "x": F.col("x")}, F.col("d"), 2)
+    assert [(r.id, r.closed_by, r.s) for r in versions_of(h, "s").orderBy("id").collect()] == [("01", "03", "in"), ("03", "05", "out"), ("05", None, "in")]
+    assert h.count() == 5
+
+
+def test_entities_with_the_same_letters(spark):
+    df = spark.createDataFrame([("Åberg", date(2024, 1, 1), "1", 1), ("Öberg", date(2024, 1, 1), "2", 2), ("Öberg", date(2024, 1, 2), "3", 3)], "n string, d date, id string, v long")
+    from rinkline.functions.textkeys import ascii_key, typed_key
+
+    h = attribute_history(df, [ascii_key(F.col("n"))], F.col("d"), F.col("id"), {"v": F.col("v")}, spelled=typed_key(F.col("n")))
+    assert {(r.id, r.closed_by) for r in h.collect()} == {("1", None), ("2", "3"), ("3", None)}
