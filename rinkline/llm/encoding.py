@@ -51,16 +51,33 @@ _LOWER_LEADS = {ord(x): x.upper() for x in "ãâåäгвед"}
 _VOWELS = set("aouåäAOUÅÄ")
 
 
-def _cost(s: str) -> float:
-    """How implausible the characters of a text are where they stand; 0 for plain ASCII."""
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _other_script(s: str) -> set[int]:
+    """Places of the letters of words that are written in one other script throughout; letters of two scripts in one word
+    are never plausible."""
+    out: set[int] = set()
+    for m in _WORD.finditer(s):
+        w = m.group()
+        if len(w) > 1 and all(ord(c) > 0x24F and not 0x1E00 <= ord(c) <= 0x1EFF for c in w) and len({ord(c) >> 8 for c in w}) == 1:
+            out.update(range(m.start(), m.end()))
+    return out
+
+
+def _all_plain(s: str, title: bool) -> bool:
+    """Whether every character beyond ASCII is one that is usual where it stands."""
+    n = sum(c > "\x7f" and c not in _BLANKS for c in s)
+    return _cost(s, title) <= n * _PLAIN + 0.3 * len(_ENTITY.findall(s)) + 1e-9
+
+
+def _cost(s: str, title: bool = True) -> float:
+    """How implausible the characters of a text are where they stand; 0 for plain ASCII. Names have no signs but the
+    apostrophe; ``title``: running text, in which others are usual too."""
     if s.isascii():
         return 0.3 * len(_ENTITY.findall(s)) if "&" in s else 0.0
     total, n = 0.3 * len(_ENTITY.findall(s)) if "&" in s else 0.0, len(s)
-    latin = False
-    for c in s:
-        if "a" <= c <= "z" or "A" <= c <= "Z":
-            latin = True
-            break
+    foreign = None
     for i, c in enumerate(s):
         if c < "\x80":
             continue
@@ -87,7 +104,8 @@ def _cost(s: str) -> float:
         elif c.isalpha():
             low = c.lower()
             if o > 0x24F and not 0x1E00 <= o <= 0x1EFF:
-                total += _FOREIGN if latin else 0.1
+                foreign = _other_script(s) if foreign is None else foreign
+                total += 0.1 if i in foreign else _FOREIGN
             elif len(low) == 1 and low in _LETTERS:
                 total += _PLAIN
                 if p.islower() and p.isalpha() and not q.isupper():
@@ -98,9 +116,10 @@ def _cost(s: str) -> float:
                     total += 0.7
             else:
                 total += _RARE if o < 0x180 else _FOREIGN
-        elif c in _SIGNS:
+        elif c in (_SIGNS if title else "’–"):
             total += _PLAIN
-            if (p.isalpha() or p in _SIGNS) and (q.isalpha() or q in _SIGNS or c in "„‘°§™"):
+            elided = c == "’" and q.isupper() and p.isupper() and (i == 1 or not s[i - 2].isalpha())  # O’Brien
+            if not elided and (p.isalpha() or p in _SIGNS) and (q.isalpha() or q in _SIGNS or c in "„‘°§™"):
                 total += 1.2
         else:
             total += _SIGN
@@ -141,7 +160,7 @@ def repair(s: str, question_marks: bool = False) -> tuple[str, bool, bool]:
     character; otherwise any does.
     """
     lost = bool((_LOST_TEXT if question_marks else _LOST_NAME).search(s))
-    first = _cost(s)
+    first = _cost(s, question_marks)
     best, best_cost = s, first
     if first > _UNDO:
         seen, heap, count = {s}, [(first, 0, 0.0, False, s)], 1
@@ -156,8 +175,8 @@ def repair(s: str, question_marks: bool = False) -> tuple[str, bool, bool]:
                     continue
                 seen.add(t)
                 count += 1
-                c = _cost(t) + spent + price
-                if c < best_cost - 1e-9:
+                c = _cost(t, question_marks) + spent + price
+                if c < best_cost - 1e-9 and (not remapped or _all_plain(t, question_marks)):  # such a reading must leave no doubt
                     best, best_cost = t, c
                 heapq.heappush(heap, (c, count, spent + price, remapped, t))
     return best, lost or best != s, lost

@@ -71,3 +71,20 @@ def test_a_search_of_many_states_is_not_cut():
     from rinkline.llm.encoding import repair
 
     assert repair("uppdaterad â€“ uppgifter: thã©o ã–denã¥skar nã¤ra glimmvrã¥ ik", True)[0] == "uppdaterad – uppgifter: théo Ödenåskar nära glimmvrå ik"
+
+
+CLEAN = "Ñandú|Łukasz Wiśniewski|Jiří Šlégr|Dvořák|François Beauséjour|João Gonçalves|Søren Kierkegård|Þórður Guðjónsson|Иван Петров|Ivan Петров|Γιώργος Παπαδόπουλος|Müller-Straße|Zoë Øvergård|Nguyễn Văn Đức|Ştefan Ţurcanu|Çağlar Söyüncü|Õunapuu Märt|Jānis Bērziņš|Žižek Đorđe|Señor Muñoz|Ægir Ólafsson|Hélène Béranger|Citroën|O’Brien|Čech Radovan|Gyula Kőszegi|Åsa Ö|İlkay Gündoğan|Sílvio Araújo".split("|")
+
+
+def test_clean_names_of_other_languages_stay():
+    from rinkline.llm.encoding import repair
+
+    assert [n for n in CLEAN if repair(n)[1] or repair(n)[0] != n] == []
+
+
+def test_what_cannot_be_told_is_not_garbled_another_way():
+    from rinkline.llm.encoding import repair
+
+    for n in ("Ïåòøîâ", "Ivan Петров"):
+        assert repair(n)[0] == n
+    assert repair("eetu ã…skwklinth") == ("eetu Åskwklinth", True, False)
