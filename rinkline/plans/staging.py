@@ -93,7 +93,7 @@ def insert_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of each season group's player rows: rows, missing key parts, repeated keys."""
-    return batch_checks(table(spark, sf_dir, "swehockey_player_stats"), ["season_group_id"], ["team_code", "player_name", "scraped_at", "run_id"])
+    return batch_checks(table(spark, sf_dir, "swehockey_player_stats"), ["season_group_id"], ["team_code", "player_name", "scraped_at", "run_id"]).drop("severity")
 
 
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
