@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkline.functions.parse import day_text, numbers_text, score
+from rinkline.functions.parse import day_text, score
 from rinkline.functions.textkeys import writing_key
 from rinkline.sources.tables import table
 
@@ -21,7 +21,7 @@ def schedule_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = s.select(F.col("season_group_id").alias("sg"), day_text(F.col("match_date")).alias("game_date"), writing_key(F.col("home_team")).alias("home"), writing_key(F.col("away_team")).alias("away"), "row_id", cells.alias("cell"))
     one = keyed.groupBy("sg", "game_date", "home", "away").agg(F.min("row_id").alias("game_id"), F.max("cell").alias("cell"))
     hg, ag = score(F.col("cell.result"), 1), score(F.col("cell.result"), 2)
-    return one.select("sg", "game_id", "game_date", "home", "away", hg.alias("hg"), ag.alias("ag"), (F.coalesce(hg != ag, F.lit(False)) & (F.col("game_id") % 5 == 0)).alias("is_ot"), numbers_text(F.col("cell.period_results")).alias("periods"), F.col("cell.spectators").alias("spectators"))
+    return one.select("sg", "game_id", "game_date", "home", "away", hg.alias("hg"), ag.alias("ag"), (F.coalesce(hg != ag, F.lit(False)) & (F.col("game_id") % 5 == 0)).alias("is_ot"), F.col("cell.period_results").alias("periods"), F.col("cell.spectators").alias("spectators"))
 
 
 def team_games(games: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def _date(rx: str, y: int, d: int) -> str:
 GAMES_SQL = f"""games as (
   select sg, game_id, game_date, home, away, hg, ag, coalesce(hg <> ag, false) and game_id % 5 = 0 is_ot, periods, spectators from (
     select sg, min(row_id) over g game_id, game_date, home, away, try_cast(regexp_extract(result, '^\\s*(\\d+)\\D+(\\d+)', 1) as int) hg, try_cast(regexp_extract(result, '^\\s*(\\d+)\\D+(\\d+)', 2) as int) ag,
-      array_to_string(regexp_extract_all(period_results, '\\d+'), '-') periods, spectators, row_number() over (g order by scraped_at desc, row_id desc) n
+      period_results periods, spectators, row_number() over (g order by scraped_at desc, row_id desc) n
     from (select season_group_id sg, row_id, coalesce({_date(_YMD, 1, 3)}, {_date(_DMY, 3, 1)}, {_PARTS.format(c="match_date")}) game_date, {_PARTS.format(c="home_team")} home, {_PARTS.format(c="away_team")} away, result, period_results, spectators, scraped_at from swehockey_schedule)
     window g as (partition by sg, game_date, home, away)) where n = 1)"""
 TEAM_GAMES_SQL = f"""{GAMES_SQL}, team_games as (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rinkline.functions.parse import numbers_text, period_scores
 from rinkline.plans.domain import GAMES_SQL, TEAM_GAMES_SQL, schedule_games, team_games
 
 K, HOME_EDGE, SCALE, START = 20.0, 40.0, 400.0, 1500.0  # fixed values of the rating
@@ -40,11 +41,10 @@ def home_away_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def period_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Goals for and against by period, periods 1 to 3."""
-    n = F.split("periods", "-")
-    at = lambda p, i: F.get(n, 2 * p + i).cast("int")
-    p = F.explode(F.filter(F.array(*[F.struct(F.lit(k + 1).alias("period"), F.when(F.col("is_home"), at(k, 0)).otherwise(at(k, 1)).alias("f"), F.when(F.col("is_home"), at(k, 1)).otherwise(at(k, 0)).alias("a")) for k in range(3)]), lambda x: x["f"].isNotNull() & x["a"].isNotNull()))
-    return _rows(spark, sf_dir).where("periods rlike '^[0-9-]+$'").select("sg", "team", p.alias("p")).groupBy("sg", "team", "p.period").agg(F.sum("p.f").alias("goals_for"), F.sum("p.a").alias("goals_against"))
+    """Goals for and against by period, periods 1 to 3; a part that is no score keeps its place but is left out."""
+    p = _rows(spark, sf_dir).select("sg", "team", "is_home", F.explode(period_scores(F.col("periods"))).alias("p")).where("p.period <= 3")
+    mine, theirs = F.when(F.col("is_home"), F.col("p.h")).otherwise(F.col("p.a")), F.when(F.col("is_home"), F.col("p.a")).otherwise(F.col("p.h"))
+    return p.groupBy("sg", "team", "p.period").agg(F.sum(mine).alias("goals_for"), F.sum(theirs).alias("goals_against"))
 
 
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def game_state_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda d, p: F.concat(F.when(d > 0, "lead").when(d < 0, "trail").otherwise("tied"), F.lit(f"_after_{p}"))
     m = F.abs(F.col("gf") - F.col("ga"))
     margin = F.when(m == 1, "one_goal").when(m == 2, "two_goals").when(m >= 3, "three_plus_goals")
-    r = _rows(spark, sf_dir).where("periods rlike '^[0-9]+-[0-9]+-[0-9]+-[0-9]+'")
+    r = _rows(spark, sf_dir).withColumn("periods", numbers_text(F.col("periods"))).where("periods rlike '^[0-9]+-[0-9]+-[0-9]+-[0-9]+'")
     s = r.select("sg", "team", "outcome", F.explode(F.filter(F.array(word(d1, 1), word(d2, 2), margin), lambda x: x.isNotNull())).alias("situation"))
     return s.groupBy("sg", "team", "situation").agg(_of("W", "OTW").alias("w"), _of("L", "D").alias("l"), _of("OTL").alias("otl"))
 
@@ -107,6 +107,16 @@ def attendance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("sg", "team").agg(F.count(F.lit(1)).alias("games"), F.round(F.avg("spectators"), 4).alias("avg_spectators"), F.max("spectators").alias("max_spectators"), F.min("spectators").alias("min_spectators"), F.sum("spectators").alias("total_spectators"))
 
 
+def _play(m: Column, g: Column) -> Column:
+    """Ratings after one more game."""
+    h, a = F.coalesce(F.try_element_at(m, g["home"]), F.lit(START)), F.coalesce(F.try_element_at(m, g["away"]), F.lit(START))
+    expected = 1 / (1 + F.pow(F.lit(10.0), (a - h - HOME_EDGE) / SCALE))
+    actual = F.when(g["hg"] > g["ag"], F.when(g["is_ot"], 0.65).otherwise(1.0)).when(g["hg"] < g["ag"], F.when(g["is_ot"], 0.35).otherwise(0.0)).otherwise(0.5)
+    move = K * (actual - expected)
+    rest = F.map_filter(m, lambda k, v: (k != g["home"]) & (k != g["away"]))
+    return F.map_concat(rest, F.map_from_arrays(F.array(g["home"], g["away"]), F.array(h + move, a - move)))
+
+
 def _rated(games: DataFrame) -> DataFrame:
     """``(sg, ratings)`` after all played games of a season group, folded in order of date and number.
 
@@ -117,15 +127,7 @@ def _rated(games: DataFrame) -> DataFrame:
     season = games.where("hg is not null and home <> away").groupBy("sg").agg(F.array_sort(F.collect_list(step)).alias("gs"))
     empty = F.create_map().cast("map<string,double>")
 
-    def play(m: Column, g: Column) -> Column:
-        h, a = F.coalesce(F.try_element_at(m, g["home"]), F.lit(START)), F.coalesce(F.try_element_at(m, g["away"]), F.lit(START))
-        expected = 1 / (1 + F.pow(F.lit(10.0), (a - h - HOME_EDGE) / SCALE))
-        actual = F.when(g["hg"] > g["ag"], F.when(g["is_ot"], 0.65).otherwise(1.0)).when(g["hg"] < g["ag"], F.when(g["is_ot"], 0.35).otherwise(0.0)).otherwise(0.5)
-        move = K * (actual - expected)
-        rest = F.map_filter(m, lambda k, v: (k != g["home"]) & (k != g["away"]))
-        return F.map_concat(rest, F.map_from_arrays(F.array(g["home"], g["away"]), F.array(h + move, a - move)))
-
-    return season.select("sg", F.aggregate("gs", empty, play).alias("ratings"))
+    return season.select("sg", F.aggregate("gs", empty, _play).alias("ratings"))
 
 
 def rating_fold_per_season(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +135,19 @@ def rating_fold_per_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rated(schedule_games(spark, sf_dir)).select("sg", F.explode("ratings").alias("team", "r")).select("sg", "team", F.round("r", 6).alias("rating"))
 
 
+def rating_history(spark: SparkSession, sf_dir: str, club: str = "norrvik") -> DataFrame:
+    """The own club's rating before each of its played games, and, without a game, after the last: the season's games fold
+    once, and the club's games take the state they find."""
+    games = schedule_games(spark, sf_dir).where("hg is not null and home <> away")
+    season = games.groupBy("sg").agg(F.array_sort(F.collect_list(F.struct("game_date", "game_id", "home", "away", "hg", "ag", "is_ot"))).alias("gs"))
+    mine = F.transform(F.filter("gs", lambda g: g["home"].contains(club) | g["away"].contains(club)), lambda g: g["game_id"])
+    before = season.select("sg", F.explode(F.concat(mine, F.array(F.lit(None).cast("long")))).alias("game_id"), "gs")
+    upto = F.when(F.col("game_id").isNull(), F.size("gs")).otherwise(F.array_position(F.transform("gs", lambda g: g["game_id"]), F.col("game_id")).cast("int") - 1)
+    folded = before.select("sg", "game_id", F.aggregate(F.slice("gs", F.lit(1), upto), F.create_map().cast("map<string,double>"), _play).alias("m"), F.get(F.filter("gs", lambda g: g["home"].contains(club) | g["away"].contains(club)), F.lit(0)).alias("any"))
+    name = F.when(F.col("any.home").contains(club), F.col("any.home")).otherwise(F.col("any.away"))
+    return folded.where("any is not null").select("sg", "game_id", F.round(F.coalesce(F.try_element_at("m", name), F.lit(START)), 6).alias("rating"))
+
+
 def next_game_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each team's first game without a result, and its chance to win it by the ratings."""
     games = schedule_games(spark, sf_dir)
@@ -183,17 +198,17 @@ rated as (select sg, unnest(m, recursive := true) from (select sg, m from fold q
 _PROJ = f"""proj as (select sg, team, gp, pts, now_rank, projected, row_number() over (partition by sg order by projected desc, team) as rank from (
   select p.sg, team, gp, pts, p.rank now_rank, round(pts + greatest(0, 52 - gp) * ((pts / gp) * least(1.0, gp / 52.0) + (1.5 + (coalesce(r.r, 1500.0) - 1500.0) * 0.003) * (1 - least(1.0, gp / 52.0))), 4) projected from places p left join rated r on r.sg = p.sg and r.t = p.team where p.sg in (select sg from rated)))"""
 
-QUERIES = {f.__name__: f for f in (timeline_cumulative_points, home_away_splits, period_goals, head_to_head, rolling_form_10, streaks_longest_current, standings_ranked, pythagorean_luck, game_state_records, attendance_summary, rating_fold_per_season, next_game_probability, projected_standings, projected_table_bands)}
+QUERIES = {f.__name__: f for f in (timeline_cumulative_points, home_away_splits, period_goals, head_to_head, rolling_form_10, streaks_longest_current, standings_ranked, pythagorean_luck, game_state_records, attendance_summary, rating_fold_per_season, rating_history, next_game_probability, projected_standings, projected_table_bands)}
 SQL = {
     "timeline_cumulative_points": f"with {TEAM_GAMES_SQL} select sg, team, opp, game_id, game_date, is_home, gf, ga, outcome, pts, row_number() over t match_num, cast(sum(pts) over (t rows unbounded preceding) as bigint) total_pts from team_games {_WIN}",
     "home_away_splits": f"with {TEAM_GAMES_SQL} select sg, team, is_home, {_S} from team_games group by 1, 2, 3",
-    "period_goals": f"with {TEAM_GAMES_SQL}, p as (select *, string_split(periods, '-') n from team_games where regexp_matches(periods, '^[0-9-]+$')) select sg, team, period, cast(sum(f) as bigint) goals_for, cast(sum(a) as bigint) goals_against from (select sg, team, period, try_cast(n[2 * period - case when is_home then 1 else 0 end] as int) f, try_cast(n[2 * period - case when is_home then 0 else 1 end] as int) a from p, (select unnest([1, 2, 3]) period)) where f is not null and a is not null group by 1, 2, 3",
+    "period_goals": f"with {TEAM_GAMES_SQL}, p as (select sg, team, is_home, string_split(regexp_replace(periods, '[()\\s]', '', 'g'), ',') parts from team_games where periods is not null), q as (select sg, team, is_home, unnest(parts) part, unnest(range(1, len(parts) + 1)) period from p), r as (select *, try_cast(regexp_extract(part, '^(\\d+)-(\\d+)$', 1) as int) h, try_cast(regexp_extract(part, '^(\\d+)-(\\d+)$', 2) as int) a from q) select sg, team, cast(period as int) period, cast(sum(case when is_home then h else a end) as bigint) goals_for, cast(sum(case when is_home then a else h end) as bigint) goals_against from r where period <= 3 and h is not null group by 1, 2, 3",
     "head_to_head": f"with {TEAM_GAMES_SQL} select *, row_number() over (partition by sg, team order by pts desc, gf - ga desc, opp) as rank from (select sg, team, opp, {_S} from team_games group by 1, 2, 3)",
     "rolling_form_10": f"with {TEAM_GAMES_SQL} select sg, team, game_id, row_number() over t match_num, cast(sum(pts) over w as bigint) pts10, cast(sum(case when gf > ga then 1 else 0 end) over w as bigint) w10, round(sum(gf) over w / count(*) over w, 6) gf_avg, round(sum(ga) over w / count(*) over w, 6) ga_avg from team_games window t as (partition by sg, team order by game_date, game_id), w as (partition by sg, team order by game_date, game_id rows 9 preceding)",
     "streaks_longest_current": f"with {TEAM_GAMES_SQL}, a as (select sg, team, gf > ga won, game_date, game_id, row_number() over t - row_number() over (partition by sg, team, gf > ga order by game_date, game_id) g from team_games {_WIN}), r as (select sg, team, won, count(*) n, max((game_date, game_id)) z from a group by sg, team, won, g) select sg, team, coalesce(max(n) filter (where won), 0) longest_win, coalesce(max(n) filter (where not won), 0) longest_loss, arg_max(case when won then n else -n end, z) current from r group by 1, 2",
     "standings_ranked": f"with {TEAM_GAMES_SQL}, {_PLACES} select * from places",
     "pythagorean_luck": f"with {TEAM_GAMES_SQL}, t as (select sg, team, {_S} from team_games group by 1, 2), e as (select *, case when gf + ga > 0 then pow(gf, 2) / (pow(gf, 2) + pow(ga, 2)) * gp * 3 else 0 end x from t) select sg, team, pts, round(x, 6) expected_pts, round(pts - x, 6) luck from e",
-    "game_state_records": f"""with {TEAM_GAMES_SQL}, p as (select *, list_transform(string_split(periods, '-'), lambda x: cast(x as int)) n, case when is_home then 1 else -1 end s from team_games where regexp_matches(periods, '^[0-9]+-[0-9]+-[0-9]+-[0-9]+')),
+    "game_state_records": f"""with {TEAM_GAMES_SQL}, p as (select *, list_transform(string_split(periods, '-'), lambda x: cast(x as int)) n, case when is_home then 1 else -1 end s from (select * replace (array_to_string(regexp_extract_all(periods, '\\d+'), '-') as periods) from team_games) where regexp_matches(periods, '^[0-9]+-[0-9]+-[0-9]+-[0-9]+')),
       d as (select sg, team, outcome, s * (n[1] - n[2]) d1, s * (n[1] - n[2] + n[3] - n[4]) d2, abs(gf - ga) m from p),
       x as (select sg, team, outcome, unnest([case when d1 > 0 then 'lead' when d1 < 0 then 'trail' else 'tied' end || '_after_1', case when d2 > 0 then 'lead' when d2 < 0 then 'trail' else 'tied' end || '_after_2', case when m = 1 then 'one_goal' when m = 2 then 'two_goals' when m >= 3 then 'three_plus_goals' end]) situation from d)
       select sg, team, situation, count(*) filter (where outcome in ('W', 'OTW')) w, count(*) filter (where outcome in ('L', 'D')) l, count(*) filter (where outcome = 'OTL') otl from x where situation is not null group by 1, 2, 3""",
