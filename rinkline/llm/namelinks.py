@@ -393,7 +393,7 @@ def _resolved_in_memory(named: DataFrame, order: dict[str, int], rarity: list[fl
         held: list[tuple] = []
 
         def close() -> list[tuple]:
-            s = _Scope([(r[3], r[5], r[6], r[7]) for r in held], order, rare)
+            s = _Scope([(r[3], r[5], sum(1 << int(k) for k in r[6]), r[7]) for r in held], order, rare)
             return [(*r[:4], s.label(r[5])) for r in held]
 
         for pdf in batches:
@@ -414,9 +414,9 @@ def _resolved_in_memory(named: DataFrame, order: dict[str, int], rarity: list[fl
 def link_variants(strings: DataFrame, short_forms: dict[str, str], local: int = LOCAL) -> DataFrame:
     """``(kind, league, team_id, name, label)``: every stored string with the group of strings that mean the same entity.
 
-    ``strings`` has ``kind`` (``player`` or ``team``), ``league``, ``team_id``, ``name``, and ``lists``, a bit set of the
-    lists the string was typed in: strings with a bit in common are different entities unless only writing or decoding
-    tells them apart (0 knows of none). ``short_forms`` (folded short given name to folded formal name) is a fixed table.
+    ``strings`` has ``kind`` (``player`` or ``team``), ``league``, ``team_id``, ``name``, and ``lists``, the numbers of the
+    lists the string was typed in: strings with a list in common are different entities unless only writing or decoding
+    tells them apart (an empty array knows of none). ``short_forms`` (folded short given name to folded formal name) is a fixed table.
     Labels are numbers that tell groups of one scope apart.
 
     Scopes of up to ``local`` strings are resolved in memory, one after another; larger ones by joins on (scope, gram)
@@ -454,10 +454,15 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"g": list(counts.keys()), "n": list(counts.values())}, columns=["g", "n"]).astype({"g": object, "n": "int64"})
 
 
+def _all_lists():
+    """The lists of a group of strings; a scope has a bounded number of lists."""
+    return F.array_distinct(F.flatten(F.collect_set("lists"))).alias("lists")
+
+
 def _resolved_apart(named: DataFrame, order: dict[str, int], rarity: list[float]) -> DataFrame:
     """The same as :func:`_resolved_in_memory` for scopes of any size, by joins."""
-    named = named.withColumn("lists", F.when(F.col("damaged"), F.lit(0).cast("long")).otherwise(F.col("lists"))).withColumn("node", F.xxhash64("scope", "form")).withColumn("skeleton", ascii_key(F.col("name")))
-    nodes = staged(named.groupBy("scope", "node", "form").agg(F.bit_or("lists").alias("lists")), "p3-forms")
+    named = named.withColumn("lists", F.when(F.col("damaged"), F.array().cast("array<int>")).otherwise(F.col("lists"))).withColumn("node", F.xxhash64("scope", "form")).withColumn("skeleton", ascii_key(F.col("name")))
+    nodes = staged(named.groupBy("scope", "node", "form").agg(_all_lists()), "p3-forms")
     parts = nodes.select("scope", "node", "form", "lists", F.explode(_meeting_parts()).alias("part"))
     known = parts.select("scope", "part").distinct()
     grams = known.where((F.length("part") > 3) & ~F.col("part").startswith("^")).select("scope", "part", F.explode(_prefix_udf(order)("part")).alias("g"))
@@ -466,7 +471,7 @@ def _resolved_apart(named: DataFrame, order: dict[str, int], rarity: list[float]
 
     a = parts.select("scope", F.col("part").alias("s"), F.col("node").alias("a"), F.col("form").alias("form_a"), F.col("lists").alias("lists_a"))
     b = parts.select("scope", F.col("part").alias("t"), F.col("node").alias("b"), F.col("form").alias("form_b"), F.col("lists").alias("lists_b"))
-    apart = F.col("lists_a").bitwiseAND(F.col("lists_b")) == 0
+    apart = ~F.arrays_overlap("lists_a", "lists_b")
     exact = a.join(b.withColumnRenamed("t", "s"), ["scope", "s"]).where((F.col("a") < F.col("b")) & apart)
     near = a.join(similar, ["scope", "s"]).join(b, ["scope", "t"]).where(apart & (F.col("a") != F.col("b")))
     near = near.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("form_a", "form_b", "form_a"), ("form_b", "form_a", "form_b"))])
@@ -485,9 +490,9 @@ def _resolved_apart(named: DataFrame, order: dict[str, int], rarity: list[float]
 
 def _joined_by_the_only_fit(nodes: DataFrame, groups: DataFrame, lean: DataFrame) -> DataFrame:
     """Groups after each that says less has joined the only group it fits; short names join if each is the other's only fit."""
-    held = nodes.join(groups, "node").groupBy("label").agg(F.bit_or("lists").alias("lists"))
+    held = nodes.join(groups, "node").groupBy("label").agg(_all_lists())
     ends = lean.join(groups.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(groups.select(F.col("node").alias("y"), F.col("label").alias("b")), "y").where("a != b").groupBy("a", "b").agg(F.min("v").alias("v"))
-    ends = ends.join(held.select(F.col("label").alias("a"), F.col("lists").alias("la")), "a").join(held.select(F.col("label").alias("b"), F.col("lists").alias("lb")), "b").where(F.col("la").bitwiseAND(F.col("lb")) == 0)
+    ends = ends.join(held.select(F.col("label").alias("a"), F.col("lists").alias("la")), "a").join(held.select(F.col("label").alias("b"), F.col("lists").alias("lb")), "b").where(~F.arrays_overlap("la", "lb"))
     only = staged(ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.min("v").alias("v")).where("n = 1"), "p3-only")
     mutual = only.where(f"v = {SHORT_NAME}").alias("p").join(only.alias("q"), (F.col("p.a") == F.col("q.b")) & (F.col("p.b") == F.col("q.a"))).select("p.a", "p.b")
     joined = closed_groups(held.select(F.col("label").alias("node")), only.where(f"v != {SHORT_NAME}").select("a", "b").unionByName(mutual))
@@ -504,8 +509,8 @@ def linked_pairs(groups: DataFrame) -> DataFrame:
 def typed_names(players: DataFrame, goalies: DataFrame, standings: DataFrame, leagues: DataFrame) -> DataFrame:
     """The stored strings with their scopes and lists, for :func:`link_variants`.
 
-    A list is one table in one season group. Bits go to a league's season groups in order; from the 31st on a group has
-    none, which only means that no two names are kept apart for its sake.
+    A list is one table in one season group, numbered within its league. Names of season groups that no league lists have
+    no scope and are left out.
     """
     from pyspark.sql import Window
 
@@ -515,8 +520,8 @@ def typed_names(players: DataFrame, goalies: DataFrame, standings: DataFrame, le
     rows = players.select("season_group_id", F.lit("player").alias("kind"), F.coalesce("team_id", none).alias("team_id"), F.col("player_name").alias("name"), F.lit(0).alias("src")).distinct()
     rows = rows.unionByName(goalies.select("season_group_id", F.lit("player").alias("kind"), F.coalesce("team_id", none).alias("team_id"), F.col("goalie_name").alias("name"), F.lit(1).alias("src")).distinct())
     rows = rows.unionByName(standings.select("season_group_id", F.lit("team").alias("kind"), none.alias("team_id"), F.col("team_name").alias("name"), F.lit(0).alias("src")).distinct())
-    bit = F.when(F.col("place") < 31, F.expr("shiftleft(1L, cast(2 * place + src as int))")).otherwise(F.lit(0).cast("long"))
-    return rows.where("name is not null").join(order, "season_group_id").groupBy("kind", "league", "team_id", "name").agg(F.bit_or(bit).alias("lists"))
+    number = (2 * F.col("place") + F.col("src")).cast("int")
+    return rows.where("name is not null").join(order, "season_group_id").groupBy("kind", "league", "team_id", "name").agg(F.collect_set(number).alias("lists"))
 
 
 def short_given_names(table: DataFrame) -> dict[str, str]:

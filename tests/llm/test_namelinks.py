@@ -33,7 +33,7 @@ ROWS = [
 
 
 def groups(spark, rows, local):
-    df = spark.createDataFrame([("player", "L", t, n, m, 1, "x") for t in ("A", "B") for n, m in rows], "kind string, league string, team_id string, name string, lists long, node long, form string")
+    df = spark.createDataFrame([("player", "L", t, n, [k for k in range(62) if m >> k & 1], 1, "x") for t in ("A", "B") for n, m in rows], "kind string, league string, team_id string, name string, lists array<int>, node long, form string")
     out = {}
     for r in N.link_variants(df, {"jonte": "johan"}, local).collect():
         out.setdefault((r.team_id, r.label), set()).add(r.name)
@@ -50,7 +50,7 @@ def test_both_ways_agree(spark):
 
 
 def test_pairs_and_empty(spark):
-    df = spark.createDataFrame([("player", "L", "A", n, 0) for n in ("Bo Ek", "EK, Bo", "bo ek")], "kind string, league string, team_id string, name string, lists long")
+    df = spark.createDataFrame([("player", "L", "A", n, []) for n in ("Bo Ek", "EK, Bo", "bo ek")], "kind string, league string, team_id string, name string, lists array<int>")
     got = sorted((r.name_a, r.name_b) for r in N.linked_pairs(N.link_variants(df, {})).collect())
     assert got == [("Bo Ek", "EK, Bo"), ("Bo Ek", "bo ek"), ("EK, Bo", "bo ek")]
     assert N.link_variants(df.limit(0), {}).count() == 0
