@@ -15,7 +15,7 @@ from rinkline.operators.staging_area import staged
 
 
 SMALL_LOADS = 1_000_000  # loads up to which their table is sent to every task
-RANGE_ROWS = 250_000  # rows in a range, about
+RANGE_ROWS = 20_000  # rows in a range, about; adaptive execution joins small ranges into one task
 
 
 def numbered_loads(df: DataFrame, group: str, load: str) -> tuple[DataFrame, int]:

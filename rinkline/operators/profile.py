@@ -20,8 +20,9 @@ def value_mask(c: Column) -> Column:
     m = F.regexp_replace(m, r"[\p{Ll}\p{Lo}\p{Lt}\p{Lm}]+", "a")
     m = F.regexp_replace(m, r"\p{N}+", "9")
     m = F.regexp_replace(m, r"[\s\x{a0}]+", "_")
-    signs = F.array_sort(F.array_distinct(F.regexp_extract_all(m, F.lit("(?s)."), F.lit(0))))
-    return F.when(F.length(m) <= LONG_MASK, m).otherwise(F.concat(F.lit("~"), F.array_join(signs, "")))
+    signs = lambda v: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)))), "")
+    # a lambda's argument is read once, so the value goes through the four patterns once
+    return F.transform(F.array(m), lambda v: F.when(F.length(v) <= LONG_MASK, v).otherwise(F.concat(F.lit("~"), signs(v))))[0]
 
 
 def _typed_mask(c: Column, kind: str) -> Column:
