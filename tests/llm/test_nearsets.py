@@ -133,3 +133,38 @@ def test_a_long_chain_is_one_group(spark):
     edges = spark.createDataFrame([*zip(names, names[1:]), (5000, 5000)], "a long, b long")
     got = {r.node: r.label for r in closed_groups(nodes, edges).collect()}
     assert all(got[k] == (min(names) if k in names else k) for k in range(1000))
+
+
+def test_groups_of_sets_meet_in_pairs(spark):
+    items = edited(13)
+    want = brute(items)
+    for limits in ({"parts": 1, "groups": 4}, {"parts": 3, "groups": 3}, {"parts": 5, "groups": 2, "hot_texts": 3}):
+        assert check(spark, items, **limits) == want
+
+
+def test_a_task_holds_a_bounded_number_of_sets():
+    from rinkline.llm.nearsets import _groups_of, _pair_number, shape
+
+    counts = np.full(20_000, 4_000)  # of 1,000,000 sets of 80 words
+    parts, groups = shape(1_000_000, counts, 0.6, 6, 3_700_000, 500_000)
+    entries = 0.4 * 80 + 1
+    assert 1_000_000 * min(1, 2 / groups) * min(1, entries / parts) <= 100_001
+    assert shape(90_000, counts * 0.09, 0.6, 6, 3_700_000, 500_000) == (6, 1)
+    assert [_pair_number(*_groups_of(k)) for k in range(50)] == list(range(50))
+
+
+def test_memory_of_a_part_for_each_set():
+    import tracemalloc
+
+    from rinkline.llm import prefixtree
+
+    rng = np.random.default_rng(6)
+    sets, kept = 100_000, 40
+    labels = np.sort(rng.integers(0, 200_000, (sets, kept)), axis=1).astype(np.int32).ravel()
+    n = np.full(sets, 90)
+    bits = rng.integers(-(2**62), 2**62, (sets, 4))
+    tracemalloc.start()
+    prefixtree.Part(np.arange(sets), n, bits, labels, np.full(sets, kept), 0.6).pairs(3, 50, 1 << 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800 * sets  # 1,440 bytes a set when the labels of all parts were laid out at once
