@@ -3,8 +3,11 @@
 A classifier fitted on a table of labelled documents (their written sources) gives every document soft memberships: the
 posteriors of the sources. Nonnegative rates (expected uses) of the documents are then fitted by projected-gradient least
 squares, so that the sources' token totals meet the targets twice: by written source, and in expectation under the
-memberships. Each round the cluster sums the totals of all documents; only these sums reach the driver, and the rates of
-a document follow from the sums of the rounds so far, so nothing of the size of the documents is stored between rounds.
+memberships. The totals by written source are met from the start and are held: after each step along the gradient of the
+totals under the memberships, the rates of a source are shifted together until its total is the target again. Each round
+the cluster sums the totals of all documents, for a fixed number of shifts; only these sums reach the driver, and the
+rates of a document follow from the sums of the rounds so far, so nothing of the size of the documents is stored between
+rounds.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ FEATURES = 1 << 14
 SOURCES = 1_000  # sources, and rows of targets, at most
 ROUNDS = 15  # of the gradient, at most
 SOFT = 0.02  # weight of the totals under the memberships against those by written source, which must be met
+SHIFTS = 65  # tried each round; fewer for mixes of very many sources, whose next rounds make up for it
 BUCKETS = 4096
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -110,7 +114,10 @@ class Mix:
     total: float = 0.0
     start: np.ndarray = field(default_factory=lambda: np.zeros(0))
     step: float = 0.0
-    past: list[np.ndarray] = field(default_factory=list)  # residuals of each round: by written source, then by membership
+    past: list[np.ndarray] = field(default_factory=list)  # of each round: shifts by written source, residuals by membership
+    pull: np.ndarray = field(default_factory=lambda: np.zeros(0))  # residuals by membership for the next round
+    middle: np.ndarray = field(default_factory=lambda: np.zeros(0))  # mean memberships of each source's tokens
+    before: np.ndarray = field(default_factory=lambda: np.zeros(0))  # residuals by membership of the last rates
 
     def inside(self, source: pd.Series, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each document's written source (-1: none), its memberships among the mix's sources, its cap. A document
@@ -133,11 +140,50 @@ class Mix:
         r = np.minimum(np.where(at >= 0, self.start[at], self.start.mean() if len(self.start) else 0.0), cap)
         y, before, k = r, r, len(self.sources)
         for n, e in enumerate(self.past):
-            gradient = np.where(at >= 0, e[:k][at], 0.0) + SOFT * (p @ e[k:])
-            r = np.clip(y - self.step * gradient, 0.0, cap)
+            r = np.clip(y - self.step * (p @ e[k:]) - np.where(at >= 0, e[:k][at], 0.0), 0.0, cap)
             y, before = r + n / (n + 3) * (r - before), r
         return r, y
 
+    def shifts(self) -> np.ndarray:
+        """Shifts of each source's rates that are tried in the next round, around the one that keeps the mean rate."""
+        widest = 2 * self.step * np.ptp(self.pull) + 1e-9 + self.cap.max(initial=0.0) / 8
+        x = np.linspace(-1, 1, max(5, min(SHIFTS, 2_000_000 // (len(self.sources) + 1) ** 2 | 1)))
+        return -self.step * (self.middle @ self.pull)[:, None] + widest * np.sign(x) * x**2
+
+    def _pulled(self, soft: np.ndarray) -> np.ndarray:
+        """The gradient by membership: documents without a written source add to the whole, so a document counts by how much
+        it differs from the shares that there are."""
+        return soft - (self.share + soft) @ soft
+
+    def opened(self, sums: np.ndarray) -> None:
+        """Takes the sums at the start: the memberships of the rates, those of the tokens by source (none last), and their
+        products. The step is the inverse of the largest curvature left when the sources' means are held."""
+        k = len(self.sources)
+        used, held, both = sums[0], sums[1 : k + 2], sums[k + 2 :]
+        tokens = np.maximum(held.sum(axis=1), 1e-9)
+        self.middle = held[:k] / tokens[:k, None]
+        spread = both - self.middle.T @ held[:k]
+        steepest = float(np.linalg.eigvalsh((spread + spread.T) / 2)[-1]) / self.total if self.total else 0.0
+        self.step = 1 / steepest if steepest > 1e-9 * tokens.sum() / max(self.total, 1e-9) else 0.0
+        self.before = used / max(used.sum(), 1e-9) - self.share
+        self.pull = self._pulled(self.before)
+
+    def moved(self, sums: np.ndarray) -> np.ndarray:
+        """Takes the sums of a round, (source, shift, tokens and memberships): the shifts that hold the totals by written
+        source, and the residuals by membership there. Returns the residuals: by written source, then by membership."""
+        k, tried = len(self.sources), self.shifts()
+        shift, got = np.zeros(k), sums[k, 0, 1:].copy()
+        written = np.zeros(k)
+        for i in range(k):
+            total = sums[i, :, 0]
+            shift[i] = np.interp(-self.total * self.share[i], -total, tried[i]) if total[0] > total[-1] else 0.0
+            written[i] = np.interp(shift[i], tried[i], total) / self.total - self.share[i]
+            got += [np.interp(shift[i], tried[i], sums[i, :, 1 + j]) for j in range(k)]
+        soft, n = got / max(got.sum(), 1e-9) - self.share, len(self.past)
+        self.past.append(np.concatenate((shift, self.pull)))
+        self.pull, self.before = self._pulled(soft + n / (n + 3) * (soft - self.before)), soft
+        return np.concatenate((written, soft))
+
 
 def _members(pdf: pd.DataFrame, k: int) -> np.ndarray:
     return np.stack(pdf["member"].to_numpy()).astype(float) if len(pdf) and k else np.zeros((len(pdf), k))
@@ -161,41 +207,68 @@ def mixes_of(docs: DataFrame, targets: DataFrame, names: list[str]) -> list[Mix]
         m = Mix(name, [w["source"] for w in mine], share, cap, [names.index(w["source"]) if w["source"] in names else -1 for w in mine])
         m.total = float(np.min(tokens * cap / share))
         m.start = m.total * share / tokens
-        m.step = m.total / (tokens.sum() * (1 + SOFT)) if m.total else 0.0
         out.append(m)
     return out
 
 
-def fit_rates(docs: DataFrame, mixes: list[Mix], rounds: int = ROUNDS) -> list[Mix]:
-    """Rounds of projected gradient: the cluster sums the tokens that the rates of all documents give each source, by
-    written source and by membership; the differences from the targets are the gradient of the next round."""
+def _summed(docs: DataFrame, mixes: list[Mix], sums_of) -> dict[str, np.ndarray]:
+    """``sums_of(mix, at, p, cap, tokens)`` of each mix, added up over all documents by the cluster."""
     k = max((i + 1 for m in mixes for i in m.columns), default=0)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            member, tokens = _members(pdf, k), pdf["tokens"].to_numpy().astype(float)
+            for m in mixes:
+                at, p, cap = m.inside(pdf["source"], member)
+                mine = cap > 0
+                got[m.name] = got.get(m.name, 0.0) + sums_of(m, at[mine], p[mine], cap[mine], tokens[mine])
+        yield pd.DataFrame([(n, i, float(x)) for n, v in got.items() for i, x in enumerate(v.ravel()) if x], columns=["mix", "i", "x"])
+
+    rows = docs.select("source", "tokens", "member").mapInPandas(sums, "mix string, i long, x double").groupBy("mix", "i").agg(F.sum("x").alias("x")).toPandas()
+    none = {m.name: sums_of(m, np.zeros(0, dtype=int), np.zeros((0, len(m.sources))), np.zeros(0), np.zeros(0)) for m in mixes}
+    for n, v in none.items():
+        mine = rows[rows["mix"] == n]
+        v.ravel()[mine["i"].to_numpy(dtype=int)] = mine["x"].to_numpy()
+    return none
+
+
+def _opening(m: Mix, at: np.ndarray, p: np.ndarray, cap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    held = p * tokens[:, None]
+    by_source = [held[at == (i if i < len(m.sources) else -1)].sum(axis=0) for i in range(len(m.sources) + 1)]
+    return np.stack([m.rates(at, p, cap)[0] @ held, *by_source, *(p.T @ held)])
+
+
+def _round(m: Mix, at: np.ndarray, p: np.ndarray, cap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    k, tried = len(m.sources), m.shifts()
+    z, weighted = m.rates(at, p, cap)[1] - m.step * (p @ m.pull), np.concatenate((np.ones((len(p), 1)), p), axis=1) * tokens[:, None]
+    out = np.zeros((k + 1, tried.shape[1], k + 1))
+    for i in range(k + 1):
+        mine = at == (i if i < k else -1)
+        for g, x in enumerate(tried[i] if i < k else [0.0]):
+            out[i, g] = np.clip(z[mine] - x, 0.0, cap[mine]) @ weighted[mine]
+    return out
+
+
+def fit_rates(docs: DataFrame, mixes: list[Mix], rounds: int = ROUNDS) -> list[Mix]:
+    """Rounds of projected gradient, with momentum: the cluster sums the tokens that the rates of all documents give each
+    source, by written source and by membership, for every shift tried; the differences from the targets under the
+    memberships are the gradient of the next round, and the shifts hold the totals by written source."""
+    mixes = [m for m in mixes if m.total]
+    if not mixes or rounds < 1:
+        return mixes
+    opening = _summed(docs, mixes, _opening)
+    for m in mixes:
+        m.opened(opening[m.name])
     error: dict[str, float] = {}
     for _ in range(rounds):
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            got = {m.name: np.zeros(2 * len(m.sources)) for m in mixes}
-            for pdf in batches:
-                member = _members(pdf, k)
-                for m in mixes:
-                    at, p, cap = m.inside(pdf["source"], member)
-                    used = m.rates(at, p, cap)[1] * pdf["tokens"].to_numpy()
-                    got[m.name][: len(m.sources)] += np.bincount(at[at >= 0], used[at >= 0], len(m.sources))
-                    got[m.name][len(m.sources) :] += used @ p
-            yield pd.DataFrame([(n, i, float(x)) for n, v in got.items() for i, x in enumerate(v)], columns=["mix", "i", "x"])
-
-        rows = docs.select("source", "tokens", "member").mapInPandas(sums, "mix string, i int, x double").groupBy("mix", "i").agg(F.sum("x").alias("x")).collect()
+        got = _summed(docs, mixes, _round)
         moving = False
         for m in mixes:
-            total = np.zeros(2 * len(m.sources))
-            for r in rows:
-                if r["mix"] == m.name:
-                    total[r["i"]] = r["x"]
-            residual = total / m.total - np.concatenate((m.share, m.share)) if m.total else total
-            now = float(np.sum(residual[: len(m.sources)] ** 2) + SOFT * np.sum(residual[len(m.sources) :] ** 2))
-            moving |= abs(error.get(m.name, np.inf) - now) > 0.01 * now + 1e-10
+            residual, k = m.moved(got[m.name]), len(m.sources)
+            now = float(np.sum(residual[:k] ** 2) + SOFT * np.sum(residual[k:] ** 2))
+            moving |= abs(error.get(m.name, np.inf) - now) > 0.002 * now + 1e-10
             error[m.name] = now
-            m.past.append(residual)
         if not moving:
             break
     return mixes

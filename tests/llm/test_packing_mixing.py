@@ -129,3 +129,13 @@ def test_sums_before_in_two_levels(spark):
     df = spark.createDataFrame(rows, "shard long, source string, t long")
     got = {(r.shard, r.source): r.before for r in sums_before(df, "source", 4).collect()}
     assert got == {(k, s): sum(t for j, z, t in rows if z == s and j < k) for k, s, _ in rows}
+
+
+def test_memberships_decide_what_is_drawn(spark):
+    like = {"a": ([0.9, 0.1], [0.3, 0.7]), "b": ([0.1, 0.9], [0.6, 0.4])}
+    rows = [(k, s, 50 + k % 7, like[s][k // 2 % 2]) for k in range(4000) for s in ["ab"[k % 2]]]
+    d, t = members(spark, rows), spark.createDataFrame([("m", "a", 0.7, 3), ("m", "b", 0.3, 3)], "mix_name string, source string, target_share double, max_repeats int")
+    got = [{r.source: r for r in reached_shares(draws(d, t, ["a", "b"], n), d, t, ["a", "b"]).collect()}["a"] for n in (0, 15)]
+    assert abs(got[0].expected_share - 0.7) > 0.1  # rates by written source alone
+    assert abs(got[1].expected_share - 0.7) < 0.8 * abs(got[0].expected_share - 0.7)
+    assert all(abs(g.reached_share - 0.7) < 0.005 for g in got)
