@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,12 +34,71 @@ ROUNDS = 15  # of the gradient, at most
 SOFT = 0.02  # weight of the totals under the memberships against those by written source, which must be met
 SHIFTS = 65  # tried each round; fewer for mixes of very many sources, whose next rounds make up for it
 BUCKETS = 4096
+HELD = 1 << 26  # bytes of known pieces a worker holds, about
 
 _WORD = re.compile(r"[^\W\d_]+")
-
-
-def _features(text: str | None) -> Counter:
-    return Counter(zlib.crc32(w.encode()) % FEATURES for w in _WORD.findall((text or "").lower()))
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # the tokenizer's; Python's has four more
+_PIECE = re.compile(f"[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])")
+
+
+class Pieces(dict):
+    """Pieces of texts (signs without space between, with the last space before them; what other space there is), with
+    their tokens and hashed words, worked out once and forgotten beyond ``HELD``. Neither a word nor a match of the
+    tokenizer's pattern reaches from one piece into the next, so the tokens of a text are the sum of its pieces'."""
+
+    def __init__(self, enc=None):
+        self.enc = enc
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.tokens, self.words, self.ends = 0, array("q"), array("q"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.tokens.append(len(self.enc.encode_ordinary(piece)) if self.enc else 0)
+        self.words.extend(zlib.crc32(w.encode()) % FEATURES for w in _WORD.findall(piece.lower()))
+        self.ends.append(len(self.words))
+        self.held += 150 + 4 * len(piece)
+        return n
+
+    def counted(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each text its tokens (0 without an encoder), its hashed words and how often each stands in it."""
+        cut: list[np.ndarray] = []
+        n = 0
+        for text in texts:
+            pieces = _PIECE.findall(text or "")
+            cut.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
+            n += len(pieces)
+            if n > 500_000 or self.held > HELD:
+                yield from self._summed(cut)
+                cut, n = [], 0
+                if self.held > HELD:
+                    self.forget()
+        if cut:
+            yield from self._summed(cut)
+
+    def _summed(self, cut: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        tokens, words, ends = (np.array(x, dtype=np.int64) for x in (self.tokens, self.words, self.ends))
+        piece, text = np.concatenate(cut), np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+        sizes = np.bincount(text, tokens[piece], len(cut))
+        many = np.diff(ends)[piece]
+        at = np.repeat(ends[piece] + many - np.cumsum(many), many) + np.arange(many.sum())
+        keys, times = np.unique(np.repeat(text, many) * FEATURES + words[at], return_counts=True)
+        bounds = np.searchsorted(keys, np.arange(len(cut) + 1) * FEATURES)
+        keys %= FEATURES
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield int(sizes[i]), keys[a:b], times[a:b]
+
+
+_known: dict[str, Pieces] = {}
+
+
+def pieces_of(vocabulary: str) -> Pieces:
+    """The pieces a worker knows under a vocabulary."""
+    if vocabulary not in _known:
+        _known[vocabulary] = Pieces(encoder(vocabulary))
+    return _known[vocabulary]
 
 
 @dataclass(frozen=True)
@@ -47,13 +107,20 @@ class Classifier:
 
     names: list[str]
     prior: np.ndarray
-    words: np.ndarray
+    words: np.ndarray  # a row for each hashed word
 
     def posteriors(self, text: str | None) -> np.ndarray:
-        f = _features(text)
-        z = self.prior + (self.words[:, list(f)] @ np.log1p(list(f.values())) / np.sqrt(1 + len(f)) if f else 0)
-        z = np.exp(z - z.max())
-        return z / z.sum()
+        return self.posteriors_by([next(Pieces().counted([text]))[1:]])[0]
+
+    def posteriors_by(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row for each text, by its hashed words and how often each stands in it."""
+        z = np.tile(self.prior, (len(counts), 1))
+        if self.names:
+            for i, (f, n) in enumerate(counts):
+                z[i] += np.log1p(n) @ self.words[f] / np.sqrt(1 + len(f))
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            z /= z.sum(axis=1, keepdims=True)
+        return z
 
 
 def fit_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -66,11 +133,11 @@ def fit_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, np.ndarray] = {}
         n: Counter = Counter()
+        known = Pieces()
         for pdf in batches:
-            for s, t in zip(pdf["source"], pdf["text"], strict=True):
+            for s, (_, f, times) in zip(pdf["source"], known.counted(pdf["text"]), strict=True):
                 n[s] += 1
-                if f := _features(t):
-                    words.setdefault(s, np.zeros(FEATURES))[list(f)] += np.log1p(list(f.values()))
+                words.setdefault(s, np.zeros(FEATURES))[f] += np.log1p(times)
         yield pd.DataFrame([(s, int(k), words.get(s, np.zeros(FEATURES))) for s, k in n.items()], columns=["source", "n", "w"])
 
     parts = drawn.mapInPandas(count, "source string, n long, w array<double>")
@@ -79,11 +146,11 @@ def fit_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     if len(names) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     at = {s: i for i, s in enumerate(names)}
-    counts, prior = np.full((len(names), FEATURES), 0.1), np.ones(len(names))
+    counts, prior = np.full((FEATURES, len(names)), 0.1), np.ones(len(names))
     of = rows["source"].map(at).to_numpy(dtype=int)
-    counts[of, rows["k"].to_numpy(dtype=int)] += rows["w"].to_numpy()
+    counts[rows["k"].to_numpy(dtype=int), of] += rows["w"].to_numpy()
     np.add.at(prior, of, rows["n"].fillna(0).to_numpy())
-    return Classifier(names, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=1, keepdims=True)))
+    return Classifier(names, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)))
 
 
 def sized_members(docs: DataFrame, model: Classifier, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -91,11 +158,11 @@ def sized_members(docs: DataFrame, model: Classifier, vocabulary: str = VOCABULA
     texts, in one pass, written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        known = pieces_of(vocabulary)
         for pdf in batches:
-            texts = pdf.pop("text")
-            pdf["tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
-            pdf["member"] = [model.posteriors(t) if model.names else np.zeros(0) for t in texts]
+            counted = list(known.counted(pdf.pop("text")))
+            pdf["tokens"] = [n for n, _, _ in counted]
+            pdf["member"] = list(model.posteriors_by([c for _, *c in counted]))
             yield pdf
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").alias("text"))
@@ -245,8 +312,9 @@ def _round(m: Mix, at: np.ndarray, p: np.ndarray, cap: np.ndarray, tokens: np.nd
     out = np.zeros((k + 1, tried.shape[1], k + 1))
     for i in range(k + 1):
         mine = at == (i if i < k else -1)
+        zi, most, wi = z[mine], cap[mine], weighted[mine]
         for g, x in enumerate(tried[i] if i < k else [0.0]):
-            out[i, g] = np.clip(z[mine] - x, 0.0, cap[mine]) @ weighted[mine]
+            out[i, g] = np.clip(zi - x, 0.0, most) @ wi
     return out
 
 

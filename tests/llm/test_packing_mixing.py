@@ -139,3 +139,47 @@ def test_memberships_decide_what_is_drawn(spark):
     assert abs(got[0].expected_share - 0.7) > 0.1  # rates by written source alone
     assert abs(got[1].expected_share - 0.7) < 0.8 * abs(got[0].expected_share - 0.7)
     assert all(abs(g.reached_share - 0.7) < 0.005 for g in got)
+
+
+@pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary file")
+def test_pieces_are_worked_out_once_and_add_up(monkeypatch):
+    import re
+    import zlib
+    from collections import Counter
+
+    from rinkline.llm import mixing
+
+    enc, asked = tokens.encoder(tokens.VOCABULARY), []
+
+    class Asked:
+        def encode_ordinary(self, text):
+            asked.append(text)
+            return enc.encode_ordinary(text)
+
+    rng = random.Random(9)
+    signs = [*"aAbσΣ'stIİß09²½_.,!-–\n\t\r\x0b\x0c\x1c\x1f\x85\xa0  　​́᠎﻿åÅ中🏒", *"            ", "'s", "'ll", "  ", "!\x1c!"]
+    texts = [None, "", " ", "Åke  gör\n\n mål ", *("".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(5000))]
+    words = [Counter(zlib.crc32(w.encode()) % mixing.FEATURES for w in re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
+    for held in (mixing.HELD, 5000):
+        monkeypatch.setattr(mixing, "HELD", held)
+        got = list(mixing.Pieces(enc).counted(texts))
+        assert [n for n, _, _ in got] == [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
+        assert [dict(zip(f.tolist(), n.tolist())) for _, f, n in got] == words
+    monkeypatch.undo()
+    long = ["Ett mål till, och så ett mål.\n" * 300] * 20
+    assert len(list(mixing.Pieces(Asked()).counted(long))) == 20 and len(asked) == len(set(asked)) < 12
+
+
+def test_a_round_sums_every_shift():
+    from rinkline.llm import mixing
+
+    rng = np.random.default_rng(10)
+    m = mixing.Mix("m", ["a", "b"], np.array([0.6, 0.4]), np.array([2.0, 3.0]), [0, 1], 900.0, np.array([0.5, 0.4]), 0.1)
+    m.pull, m.middle = np.array([0.2, -0.1]), np.array([[0.7, 0.3], [0.4, 0.6]])
+    at, p, tokens_of = rng.integers(-1, 2, 60), rng.dirichlet((1, 1), 60), rng.integers(0, 50, 60).astype(float)
+    cap, x = np.where(at >= 0, m.cap[at], 1.0), m.shifts()
+    z, got = m.rates(at, p, cap)[1] - m.step * (p @ m.pull), mixing._round(m, at, p, cap, tokens_of)
+    for i in range(3):
+        for g in range(x.shape[1] if i < 2 else 1):
+            r = [tokens_of[d] * min(max(z[d] - (x[i, g] if i < 2 else 0.0), 0.0), cap[d]) for d in range(60) if at[d] == (i if i < 2 else -1)]
+            assert np.isclose(got[i, g, 0], sum(r)) and np.isclose(got[i, g, 1:].sum(), sum(r))
